@@ -2,11 +2,643 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
-QUERIES: dict = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.functions import text as X
+from skein.functions import vector as V
+from skein.operators import catalog, evaluate, features, fusion, retrieval, signal
+from skein.operators import conversation as chat
+from skein.plans import search
+from skein.sources import files, wal
+from skein.streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def table(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def documents(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def vectors(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def asked_vectors(s: SparkSession, d: str, n: int = 1) -> DataFrame:
+    return vectors(s, d).where(F.col("id") < n).withColumnRenamed("id", "query_id")
+
+
+def asked_text(s: SparkSession, text: str) -> DataFrame:
+    return s.createDataFrame([(0, text)], "query_id long, text string")
+
+
+OR_TEXT, AND_TEXT = "the of licensed", "the and that"
+WEIGHTS = {"vector_weight": 0.6, "text_weight": 0.4}
+
+# ---- SQL parts
+CLEAN = r"replace(regexp_replace(regexp_replace(regexp_replace(text,'\p{C}','','g'),'([.?!])','\1'||chr(1),'g'), chr(1)||'(\s|$)','\1','g'), chr(1), ' ')"
+TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+Q0 = "(SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
+L2 = "round(list_distance(embedding::DOUBLE[], q::DOUBLE[])**2, 9)"
+COS = "round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 9)"
+
+
+def bm25_sql(text: str, every: bool) -> str:
+    words = "(" + ", ".join(f"'{w}'" for w in text.split()) + ")"
+    having = f" HAVING count(*) = {len(set(text.split()))}" if every else ""
+    return f"""tok AS (SELECT doc_id AS id, {TOKENS} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM tok),
+tf AS (SELECT id, len(t) AS length, term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM tok) WHERE term IN {words} GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+hits AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score FROM tf JOIN df USING (term), st GROUP BY id{having})"""
+
+
+def ranked_sql(source: str, order: str, k: int, offset: int = 0) -> str:
+    return f"(SELECT *, row_number() OVER (ORDER BY {order}, id) - {offset} AS rank FROM {source} QUALIFY rank BETWEEN 1 AND {k})"
+
+
+VEC_HITS = ranked_sql(f"(SELECT vec_id AS id, {L2} AS distance FROM embeddings, {Q0})", "distance", 10)
+FUSED = "SELECT coalesce(v.id, t.id) AS id, round(coalesce(0.6::DOUBLE / (59 + v.rank), 0) + coalesce(0.4::DOUBLE / (59 + t.rank), 0), 9) AS score, (v.rank - 1)::INTEGER AS vector_rank, (t.rank - 1)::INTEGER AS text_rank, CASE WHEN v.id IS NULL THEN 'text' WHEN t.id IS NULL THEN 'vector' ELSE 'both' END AS source FROM v FULL JOIN t ON v.id = t.id"
+HYBRID = f"WITH {bm25_sql(AND_TEXT, True)}, v AS {VEC_HITS}, t AS {ranked_sql('hits', 'score DESC', 100)}, f AS ({FUSED}) SELECT 0::BIGINT AS query_id, f.*, coalesce(d.text, 'Unknown') AS text FROM f LEFT JOIN documents d ON d.doc_id = f.id"
+
+# ---- cleaning, tokens, names
+
+
+@query("clean_text", f"SELECT doc_id, {CLEAN} AS text FROM documents")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", X.clean(F.col("text")).alias("text"))
+
+
+@query("tokenize_counts", f"SELECT doc_id, len({TOKENS}) AS n_tokens, len(list_distinct({TOKENS})) AS n_terms FROM documents")
+def _(s, d):
+    t = X.tokens(F.col("text"))
+    return table(s, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_terms"))
+
+
+@query("truncate_tokens", f"SELECT doc_id, array_to_string({TOKENS}[1:512], ' ') AS head FROM documents")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", F.array_join(X.truncate(X.tokens(F.col("text")), 512), " ").alias("head"))
+
+
+@query("drop_padding", "SELECT doc_id, len(rtrim(regexp_replace(lpad((n_chars % 1000)::VARCHAR, 4, '0'), '0', ' ', 'g')))::BIGINT AS n FROM documents")
+def _(s, d):
+    digits = F.transform(F.split(F.lpad((F.col("n_chars") % 1000).cast("string"), 4, "0"), ""), lambda x: x.cast("int"))
+    return table(s, d, "documents").select("doc_id", F.size(X.drop_padding(F.filter(digits, lambda x: x.isNotNull()))).cast("long").alias("n"))
+
+
+@query("uuid5_ids", "WITH h AS (SELECT page_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(url)) AS h FROM pages) SELECT page_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS id FROM h")
+def _(s, d):
+    return table(s, d, "pages").select("page_id", X.uuid5(F.col("url")).alias("id"))
+
+
+@query("basename", "SELECT page_id, string_split(url, '/')[-1] AS name FROM pages")
+def _(s, d):
+    return table(s, d, "pages").select("page_id", X.basename(F.col("url")).alias("name"))
+
+
+@query("prefixes", "SELECT item_id, 'query: ' || text AS q, 'passage: ' || text AS p, 'Instruct: retrieve' || chr(10) || 'Query: ' || text AS i, trim(' items ') || '_d' || 64 AS index_name FROM benchmark")
+def _(s, d):
+    t = F.col("text")
+    return table(s, d, "benchmark").select("item_id", X.prefixed(t, "query").alias("q"), X.prefixed(t, "passage").alias("p"), X.instructed(F.lit("retrieve"), t).alias("i"), X.index_name(F.lit(" items "), F.lit(64)).alias("index_name"))
+
+
+@query("web_scalars", "SELECT page_id, substring(html, 1, 5000) AS content, CASE WHEN length(url) < 5 THEN rpad(url, 5, ' ') ELSE url END AS q, greatest(page_id % 9, 5) AS n FROM pages")
+def _(s, d):
+    u = F.col("url")
+    return table(s, d, "pages").select("page_id", F.substring("html", 1, 5000).alias("content"), F.when(F.length(u) < 5, F.rpad(u, 5, " ")).otherwise(u).alias("q"), F.greatest(F.col("page_id") % 9, F.lit(5)).alias("n"))
+
+
+@query("chunk_basic")
+def _(s, d):
+    return ingest.chunk_rows(table(s, d, "documents"))
+
+
+@query("chunk_by_title")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", F.posexplode(X.chunks_by_title(F.col("text"))).alias("chunk_no", "chunk_text"))
+
+
+@query("detect_type", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'pdf' WHEN page_id % 3 = 1 THEN 'markdown' END AS kind FROM pages")
+def _(s, d):
+    path = F.when(F.col("page_id") % 3 == 1, F.concat("url", F.lit(".md"))).otherwise(F.lit("x/unknown"))
+    content = F.when(F.col("page_id") % 3 == 0, F.unhex(F.lit("255044462D312E37"))).otherwise(F.encode(F.col("html"), "UTF-8"))
+    return table(s, d, "pages").select("page_id", files.kind(path, content).alias("kind"))
+
+
+@query("parse_conn_string", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'postgres' ELSE 'mysql' END AS type, 'u' || s_suppkey AS \"user\", CASE WHEN s_suppkey % 2 = 1 THEN 'pw' END AS password, 'host' AS host, CASE WHEN s_suppkey % 2 = 1 THEN '3306' END AS port, CASE WHEN s_suppkey % 2 = 1 THEN 'db' END AS database FROM supplier")
+def _(s, d):
+    c = F.when(F.col("s_suppkey") % 2 == 0, F.format_string("postgres://u%d@host", "s_suppkey")).otherwise(F.format_string("mysql://u%d:pw@host:3306/db", "s_suppkey"))
+    return table(s, d, "supplier").select("s_suppkey", *[v.alias(k) for k, v in files.connection(c).items()])
+
+
+@query("tracker_chunks", "SELECT 'export.json' AS document_name, 'Title: ' || p_name || chr(10) || 'Status: ' || p_brand || chr(10) || 'Created At: ' || p_type AS chunk_text, 'by issue' AS chunking_strategy FROM part")
+def _(s, d):
+    i = F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("status"), F.col("p_type").alias("createdAt"))
+    e = table(s, d, "part").groupBy(F.col("p_partkey") % 7).agg(F.collect_list(i).alias("issues")).select(F.lit("file:/x/export.json").alias("path"), "issues")
+    return files.issue_chunks(e).select("document_name", "chunk_text", "chunking_strategy")
+
+
+# ---- retrieval
+
+
+@query("knn_l2", f"SELECT 0::BIGINT AS query_id, id, distance, rank::INTEGER AS rank FROM {VEC_HITS}")
+def _(s, d):
+    return retrieval.knn(vectors(s, d), asked_vectors(s, d))
+
+
+@query("knn_cosine", f"SELECT 0::BIGINT AS query_id, id, score, rank::INTEGER AS rank FROM {ranked_sql(f'(SELECT vec_id AS id, {COS} AS score FROM embeddings, {Q0})', 'score DESC', 10)}")
+def _(s, d):
+    return retrieval.knn(vectors(s, d), asked_vectors(s, d), metric="cosine")
+
+
+@query("knn_filtered", f"SELECT 0::BIGINT AS query_id, id, score, rank::INTEGER AS rank FROM {ranked_sql(f'(SELECT vec_id AS id, {COS} AS score FROM embeddings, {Q0} WHERE vec_id IN (3, 5, 8, 13, 21, 34))', 'score DESC', 10)}")
+def _(s, d):
+    return retrieval.knn(vectors(s, d), asked_vectors(s, d), metric="cosine", only=[3, 5, 8, 13, 21, 34])
+
+
+BATCH = f"SELECT query_id, id, distance, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {L2.replace('embedding', 'e.embedding').replace('q::', 'q.embedding::')} AS distance FROM embeddings e, embeddings q WHERE q.vec_id < 50)) WHERE rank <= 10"
+
+
+@query("knn_batch", BATCH)
+def _(s, d):
+    return retrieval.knn_blocks(vectors(s, d), asked_vectors(s, d, 50))
+
+
+@query("knn_batch_join", BATCH)
+def _(s, d):
+    return retrieval.knn(vectors(s, d), asked_vectors(s, d, 50))
+
+
+@query("dot_scores", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 100, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 20")
+def _(s, d):
+    a, b = vectors(s, d).where("id < 20").select(F.col("id").alias("a"), F.col("vector").alias("x")), vectors(s, d).select(F.col("id").alias("b"), F.col("vector").alias("y"))
+    return a.crossJoin(b).select("a", "b", F.round(V.dot(F.col("x"), F.col("y")) * 100, 6).alias("score"))
+
+
+@query("normalize_vectors", "SELECT vec_id AS id, i, round(embedding[i]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS x FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
+def _(s, d):
+    return vectors(s, d).select("id", F.posexplode(V.normalised(F.col("vector"))).alias("i", "x")).select("id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query("bm25_match_or", f"WITH {bm25_sql(OR_TEXT, False)} SELECT 0::BIGINT AS query_id, id, score, rank::INTEGER AS rank FROM {ranked_sql('hits', 'score DESC', 10)}")
+def _(s, d):
+    return retrieval.text_search(documents(s, d), asked_text(s, OR_TEXT))
+
+
+@query("bm25_intersection", f"WITH {bm25_sql(AND_TEXT, True)} SELECT 0::BIGINT AS query_id, id, score FROM hits")
+def _(s, d):
+    return retrieval.bm25(documents(s, d), asked_text(s, AND_TEXT), every=True)
+
+
+@query("bm25_paged", f"WITH {bm25_sql(AND_TEXT, True)} SELECT 0::BIGINT AS query_id, id, score, rank::INTEGER AS rank FROM {ranked_sql('hits', 'score DESC', 7, 5)}")
+def _(s, d):
+    return retrieval.text_search(documents(s, d), asked_text(s, AND_TEXT), k=7, offset=5, every=True)
+
+
+def both_hits(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return retrieval.knn(vectors(s, d), asked_vectors(s, d)), retrieval.text_search(documents(s, d), asked_text(s, AND_TEXT), 100, every=True)
+
+
+@query("rrf_weighted", f"WITH {bm25_sql(AND_TEXT, True)}, v AS {VEC_HITS}, t AS {ranked_sql('hits', 'score DESC', 100)} SELECT 0::BIGINT AS query_id, * FROM ({FUSED})")
+def _(s, d):
+    return fusion.weighted(*both_hits(s, d), 0.6, 0.4)
+
+
+SETS = f"WITH {bm25_sql(AND_TEXT, True)}, u AS (SELECT id, rank FROM {VEC_HITS} UNION ALL SELECT id, rank FROM {ranked_sql('hits', 'score DESC', 100)}), g AS (SELECT 0::BIGINT AS query_id, id, round(sum(1::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY id)"
+
+
+@query("rrf_sets", f"{SETS} SELECT * FROM g")
+def _(s, d):
+    v, t = both_hits(s, d)
+    return fusion.sets({"vector": v, "text": t})
+
+
+@query("rrf_minmax", f"{SETS} SELECT query_id, id, round((score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()), 6) AS score FROM g")
+def _(s, d):
+    v, t = both_hits(s, d)
+    return fusion.min_max(fusion.sets({"vector": v, "text": t}))
+
+
+def hybrid_query(s: SparkSession, d: str) -> DataFrame:
+    return asked_vectors(s, d).crossJoin(s.createDataFrame([(AND_TEXT,)], "text string"))
+
+
+def flagship(s: SparkSession, d: str) -> DataFrame:
+    return search.search(documents(s, d), vectors(s, d), hybrid_query(s, d), **WEIGHTS)
+
+
+QUERIES["hybrid_search"], ORACLES["hybrid_search"] = flagship, HYBRID
+
+
+@query("hybrid_vector_only", f"SELECT 0::BIGINT AS query_id, v.id, round(1::DOUBLE / (59 + rank), 9) AS score, (rank - 1)::INTEGER AS vector_rank, NULL::INTEGER AS text_rank, 'vector' AS source, coalesce(d.text, 'Unknown') AS text FROM {VEC_HITS} v LEFT JOIN documents d ON d.doc_id = v.id")
+def _(s, d):
+    return search.search(documents(s, d), vectors(s, d), asked_vectors(s, d), **WEIGHTS)
+
+
+@query("hybrid_text_only", f"WITH {bm25_sql(AND_TEXT, True)} SELECT 0::BIGINT AS query_id, t.id, round(1::DOUBLE / (59 + rank), 9) AS score, NULL::INTEGER AS vector_rank, (rank - 1)::INTEGER AS text_rank, 'text' AS source, d.text FROM {ranked_sql('hits', 'score DESC', 100)} t JOIN documents d ON d.doc_id = t.id")
+def _(s, d):
+    return search.search(documents(s, d), None, asked_text(s, AND_TEXT), **WEIGHTS)
+
+
+@query("hybrid_filtered", HYBRID.replace(f"FROM embeddings, {Q0})", f"FROM embeddings, {Q0} WHERE vec_id % 3 = 0 AND vec_id < 100)").replace("t AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) - 0 AS rank FROM hits", "t AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT * FROM hits WHERE id % 3 = 0 AND id < 100)"))
+def _(s, d):
+    return search.search(documents(s, d), vectors(s, d), hybrid_query(s, d), only=list(range(0, 100, 3)), **WEIGHTS)
+
+
+def tombstones(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+
+
+@query("deleted_antijoin", "SELECT doc_id AS id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def _(s, d):
+    return search.without_deleted(documents(s, d), tombstones(s, d))
+
+
+@query("deleted_unknown_compat", "SELECT doc_id AS id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'Unknown' ELSE text END AS text FROM documents")
+def _(s, d):
+    return search.without_deleted(documents(s, d), tombstones(s, d), unknown=True)
+
+
+TOKEN_VECTORS = "list_transform(range(0, 4), lambda i: embedding[i * 16 + 1:i * 16 + 16]::DOUBLE[])"
+
+
+@query("maxsim_rerank", f"WITH m AS (SELECT vec_id AS id, {TOKEN_VECTORS} AS vs FROM embeddings), q AS (SELECT vs AS qs FROM m WHERE id = 0) SELECT 0::BIGINT AS query_id, id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM (SELECT id, round(list_sum(list_transform(qs, lambda a: list_max(list_transform(vs, lambda b: list_dot_product(a, b))))), 9) AS score FROM m, q WHERE id < 200)")
+def _(s, d):
+    parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("vector", i * 16 + 1, 16))
+    m = vectors(s, d).select("id", parts.alias("vectors"))
+    q = m.where("id = 0").withColumnRenamed("id", "query_id")
+    return retrieval.late_interaction(m, q, m.where("id < 200").select(F.lit(0).cast("long").alias("query_id"), "id"))
+
+
+@query("hashing_embed")
+def _(s, d):
+    return table(s, d, "benchmark").select("item_id", V.hashed(X.tokens(F.col("text"))).alias("embedding"))
+
+
+def first_vector(s: SparkSession, d: str) -> list[float]:
+    return [float(x) for x in vectors(s, d).where("id = 0").first().vector]
+
+
+@query("lsh_knn")
+def _(s, d):
+    return retrieval.lsh_knn(vectors(s, d), first_vector(s, d))
+
+
+@query("ivf_knn")
+def _(s, d):
+    return retrieval.ivf_knn(*retrieval.ivf_cells(vectors(s, d)), first_vector(s, d))
+
+
+# ---- aggregates, lifecycle
+
+
+@query("doc_census", "SELECT source AS document_name, lang AS document_id, count(*) AS doc_count FROM documents GROUP BY ALL ORDER BY 1, 2 LIMIT 10000")
+def _(s, d):
+    return table(s, d, "documents").groupBy(F.col("source").alias("document_name"), F.col("lang").alias("document_id")).agg(F.count("*").alias("doc_count")).orderBy("document_name", "document_id").limit(10_000)
+
+
+@query("index_counts", "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'pages', count(*) FROM pages")
+def _(s, d):
+    each = [table(s, d, t).select(F.lit(t).alias("name")) for t in ("documents", "embeddings", "pages")]
+    return each[0].union(each[1]).union(each[2]).groupBy("name").agg(F.count("*").alias("n"))
+
+
+def log(s: SparkSession, d: str) -> DataFrame:
+    """Events as operations: errors are deletes, signups checkpoints."""
+    e = table(s, d, "events")
+    op = F.when(F.col("event_type") == "error", "Delete").when(F.col("event_type") == "signup", "Checkpoint").otherwise("Add")
+    return e.select(op.alias("op"), F.col("event_id").alias("seq"), F.lit("x").alias("index"), F.when(op == "Add", F.col("user_id")).alias("id"), F.when(op == "Delete", F.array("user_id")).alias("ids"), F.when(op == "Add", F.col("props")).alias("text"), F.lit(None).cast("array<float>").alias("vector"), F.when(op == "Checkpoint", F.col("user_id") % 10).alias("snapshot_id"))
+
+
+@query("wal_replay", "SELECT 'x' AS \"index\", user_id AS id, props AS text FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE event_type <> 'signup') WHERE n = 1 AND event_type <> 'error'")
+def _(s, d):
+    return wal.replayed(log(s, d)).select("index", "id", "text")
+
+
+@query("wal_since_checkpoint", "SELECT event_id AS seq FROM events WHERE event_id > coalesce((SELECT max(event_id) FROM events WHERE event_type = 'signup' AND user_id % 10 = 3), -1)")
+def _(s, d):
+    return wal.since_checkpoint(log(s, d), 3).select("seq")
+
+
+@query("wal_crc")
+def _(s, d):
+    return table(s, d, "events").select("event_id", F.crc32(F.encode(F.col("props"), "UTF-8")).alias("crc"), F.octet_length("props").alias("length"))
+
+
+def snapshots(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "events").where("event_type = 'signup'").select((F.col("user_id") % 20).alias("index"), F.col("event_id").alias("snapshot_id"))
+
+
+@query("latest_snapshot", "SELECT user_id % 20 AS \"index\", max(event_id) AS snapshot_id FROM events WHERE event_type = 'signup' GROUP BY 1")
+def _(s, d):
+    return wal.retained(snapshots(s, d), 1)
+
+
+@query("snapshot_retention", "SELECT user_id % 20 AS \"index\", event_id AS snapshot_id FROM events WHERE event_type = 'signup' QUALIFY row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id DESC) <= 3")
+def _(s, d):
+    return wal.retained(snapshots(s, d), 3)
+
+
+@query("task_status", "SELECT user_id AS task_id, arg_max(event_type, event_id) AS status, max(event_id) AS seq FROM events GROUP BY user_id")
+def _(s, d):
+    return ingest.task_status(table(s, d, "events").select(F.col("user_id").alias("task_id"), F.col("event_type").alias("status"), F.col("event_id").alias("seq")))
+
+
+# ---- catalog
+
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+PRIMARY = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"]}
+FOREIGN = [([("n_regionkey", "r_regionkey")], "nation", "region"), ([("c_nationkey", "n_nationkey")], "customer", "nation"), ([("s_nationkey", "n_nationkey")], "supplier", "nation"), ([("o_custkey", "c_custkey")], "orders", "customer"), ([("l_orderkey", "o_orderkey")], "lineitem", "orders"), ([("l_partkey", "p_partkey")], "lineitem", "part"), ([("l_suppkey", "s_suppkey")], "lineitem", "supplier")]
+
+
+def table_columns(s: SparkSession, d: str) -> DataFrame:
+    return catalog.columns(s, d, TABLES)
+
+
+def table_keys(s: SparkSession) -> DataFrame:
+    return catalog.keys(s, PRIMARY, FOREIGN)
+
+
+COLUMNS_SQL = "SELECT table_name, column_name, ordinal_position AS ordinal FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem')"
+
+
+@query("table_columns", COLUMNS_SQL)
+def _(s, d):
+    return table_columns(s, d).select("table_name", "column_name", "ordinal")
+
+
+@query("pk_fk_flags", f"SELECT *, CASE WHEN column_name IN ('r_regionkey', 'n_nationkey', 'c_custkey', 's_suppkey', 'p_partkey', 'o_orderkey') THEN 'primary' WHEN column_name IN ('n_regionkey', 'c_nationkey', 's_nationkey', 'o_custkey', 'l_orderkey', 'l_partkey', 'l_suppkey') THEN 'foreign' END AS key FROM ({COLUMNS_SQL})")
+def _(s, d):
+    return catalog.flagged(table_columns(s, d), table_keys(s)).select("table_name", "column_name", "ordinal", "key")
+
+
+@query("fk_joins_spec", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{ft}', '{{{t}}}.{p[0][0]} = {{{ft}}}.{p[0][1]}')" for p, t, ft in FOREIGN) + ") AS v(table_name, name, sql)")
+def _(s, d):
+    return catalog.joins(table_keys(s))
+
+
+@query("user_databases", "SELECT name FROM (VALUES ('shop'), ('mysql'), ('sys'), ('postgres')) AS v(name) WHERE name NOT IN ('mysql', 'sys', 'postgres')")
+def _(s, d):
+    return catalog.user_databases(s.createDataFrame([("shop",), ("mysql",), ("sys",), ("postgres",)], "name string"))
+
+
+@query("table_models")
+def _(s, d):
+    prints = signal.fingerprints(table(s, d, "customer"), ["c_custkey", "c_name", "c_acctbal"], ["c_custkey"]).select(F.lit("customer").alias("table_name"), F.col("name").alias("column_name"), "embedding")
+    return catalog.models(table_columns(s, d), table_keys(s), "shop", prints)
+
+
+@query("croissant")
+def _(s, d):
+    return catalog.croissant(catalog.models(table_columns(s, d), table_keys(s), "shop"))
+
+
+# ---- signals
+
+
+@query("dft_embedding", "WITH r AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, c_acctbal AS x, count(*) OVER () AS n FROM customer), e AS (SELECT sum(x * x) AS e FROM r), k AS (SELECT unnest(range(0, 256)) AS k) SELECT k, round(sqrt(sum(x * cos(2 * pi() * ((k * i) % n) / n)) ** 2 + sum(x * sin(2 * pi() * ((k * i) % n) / n)) ** 2) / sqrt(any_value(n) * any_value(e)), 6) AS magnitude FROM r, k, e WHERE k < n GROUP BY k")
+def _(s, d):
+    return signal.spectrum(table(s, d, "customer"), "c_acctbal", ["c_custkey"]).select(F.col("k").cast("long").alias("k"), F.round("magnitude", 6).alias("magnitude"))
+
+
+@query("dft_phase")
+def _(s, d):
+    return signal.spectrum(table(s, d, "customer"), "c_acctbal", ["c_custkey"], phase=True)
+
+
+LINKED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("column_linking")
+def _(s, d):
+    return signal.linked(signal.fingerprints(table(s, d, "lineitem"), LINKED, ["l_orderkey", "l_linenumber"]))
+
+
+@query("pearson_corr", "SELECT " + " UNION ALL SELECT ".join(f"'{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS correlation FROM lineitem" for i, a in enumerate(LINKED) for b in LINKED[i:]))
+def _(s, d):
+    return signal.correlation_matrix(table(s, d, "lineitem"), LINKED)
+
+
+@query("haar_wavelet")
+def _(s, d):
+    return signal.wavelets(table(s, d, "customer"), "c_acctbal", ["c_custkey"])
+
+
+@query("paired_ttest")
+def _(s, d):
+    return signal.paired_t(table(s, d, "lineitem"), "l_discount", "l_tax")
+
+
+@query("pca")
+def _(s, d):
+    return signal.principal_components(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", *LINKED), LINKED)
+
+
+# ---- model inputs
+
+
+@query("label_encode", "SELECT p_partkey, dense_rank() OVER (ORDER BY p_type) - 1 AS label FROM part")
+def _(s, d):
+    return features.label(table(s, d, "part"), "p_type").select("p_partkey", F.col("label").cast("long").alias("label"))
+
+
+@query("one_hot", "WITH l AS (SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS l FROM part), n AS (SELECT max(l) + 1 AS n FROM l) SELECT p_partkey, array_to_string(list_transform(range(0, n), lambda i: CASE WHEN i = l THEN '1' ELSE '0' END), '') AS hot FROM l, n")
+def _(s, d):
+    return features.one_hot(table(s, d, "part"), "p_brand").select("p_partkey", F.array_join(F.transform("one_hot", lambda x: x.cast("int").cast("string")), "").alias("hot"))
+
+
+@query("binary_encode", "SELECT o_orderkey, array_to_string(CASE WHEN o_orderkey % 2 = 0 THEN [0, 0] ELSE [0, 1] END, ',') AS two FROM orders")
+def _(s, d):
+    o = table(s, d, "orders").withColumn("side", F.when(F.col("o_orderkey") % 2 == 0, "even").otherwise("odd"))
+    return features.binary(o, "side").select("o_orderkey", F.array_join(F.transform("binary", lambda x: x.cast("string")), ",").alias("two"))
+
+
+@query("tensor_cast", "SELECT l_orderkey, l_linenumber, trunc(l_extendedprice)::BIGINT AS as_long, l_extendedprice::FLOAT AS as_float, trunc(l_discount * 20)::BIGINT <> 0 AS as_bool FROM lineitem")
+def _(s, d):
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", features.tensor_cast(F.col("l_extendedprice").cast("string"), "TYPE_INT64").alias("as_long"), features.tensor_cast(F.col("l_extendedprice"), "FP32").alias("as_float"), features.tensor_cast(F.col("l_discount") * 20, "BOOL").alias("as_bool"))
+
+
+@query("payload_json")
+def _(s, d):
+    v = vectors(s, d)
+    return v.select("id", features.payload(F.lit("x"), F.lit("FP32"), F.array(F.lit(1), F.size("vector")), features.reshape(F.col("vector"), 64)).alias("json"))
+
+
+POOLED = "list_transform(range(0, 4), lambda i: embedding[i * 16 + 1:i * 16 + 16]::DOUBLE[])"
+
+
+def hidden(s: SparkSession, d: str) -> tuple[DataFrame, Column]:
+    h = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("vector", i * 16 + 1, 16))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i <= F.col("id") % 4, 1).otherwise(0))
+    return vectors(s, d).select("id", h.alias("h"), mask.alias("m")), F.col("id")
+
+
+@query("mean_pool", f"SELECT id, i, round(list_avg(list_transform(hs[1:(id % 4) + 1], lambda h: h[i])), 6) AS x FROM (SELECT vec_id AS id, {POOLED} AS hs, unnest(range(1, 17)) AS i FROM embeddings)")
+def _(s, d):
+    h, _id = hidden(s, d)
+    return h.select("id", F.posexplode(V.mean_pool(F.col("h"), F.col("m"))).alias("i", "x")).select("id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query("last_token_pool", f"SELECT id, round(hs[(id % 4) + 1][1], 6) AS first, round(hs[(id % 4) + 1][16], 6) AS last FROM (SELECT vec_id AS id, {POOLED} AS hs FROM embeddings)")
+def _(s, d):
+    h, _id = hidden(s, d)
+    p = V.last_token_pool(F.col("h"), F.col("m"))
+    return h.select("id", F.round(p[0].cast("double"), 6).alias("first"), F.round(p[15].cast("double"), 6).alias("last"))
+
+
+@query("model_config", "SELECT n_nationkey, n_name AS name, n_regionkey AS batch, 'INT64' AS type FROM nation")
+def _(s, d):
+    t = F.format_string('name: "%s" max_batch_size: %d input [ { name: "x" data_type: INT64 dims: [ -1, 3 ] } ]', "n_name", "n_regionkey")
+    j = features.config_json(t)
+    return table(s, d, "nation").select("n_nationkey", F.get_json_object(j, "$.name").alias("name"), F.get_json_object(j, "$.max_batch_size").cast("int").alias("batch"), F.get_json_object(j, "$.input[0].data_type").alias("type"))
+
+
+# ---- chats and tasks
+
+
+def messages(s: SparkSession, d: str) -> DataFrame:
+    """Conversations with types: the first turn is input, then answer and related in turn; system messages stand for tools."""
+    t = F.when(F.col("turn") == 0, "input").when(F.col("turn") % 3 == 1, "answer").when(F.col("turn") % 3 == 2, "related")
+    return table(s, d, "conversations").withColumn("type", t).withColumn("role", F.when(F.col("role") == "system", "tool").otherwise(F.col("role")))
+
+
+MESSAGES = "(SELECT conv_id, turn, text, CASE WHEN role = 'system' THEN 'tool' ELSE role END AS role, CASE WHEN turn = 0 THEN 'input' WHEN turn % 3 = 1 THEN 'answer' WHEN turn % 3 = 2 THEN 'related' END AS type FROM conversations)"
+
+
+@query("chat_visible", f"SELECT * FROM {MESSAGES} WHERE role <> 'tool' AND coalesce(type, '') NOT IN ('followup', 'related', 'end')")
+def _(s, d):
+    return chat.visible(messages(s, d))
+
+
+@query("chat_recent_window", "SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) <= 5")
+def _(s, d):
+    return chat.recent(table(s, d, "conversations"), 5)
+
+
+@query("chat_title", "SELECT conv_id, turn, coalesce(nullif(substring(text, 1, 100), ''), 'Untitled') AS title FROM conversations")
+def _(s, d):
+    return table(s, d, "conversations").select("conv_id", "turn", X.title(F.to_json(F.struct(F.col("text").alias("input")))).alias("title"))
+
+
+@query("tool_role_rewrite", f"SELECT conv_id, turn, CASE WHEN role = 'tool' THEN 'assistant' ELSE role END AS role, CASE WHEN role = 'tool' THEN '\"' || replace(replace(replace(text, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n') || '\"' ELSE text END AS content FROM {MESSAGES}")
+def _(s, d):
+    role, content = chat.as_assistant(F.col("role"), F.col("text"))
+    return messages(s, d).select("conv_id", "turn", role.alias("role"), content.alias("content"))
+
+
+@query("message_type", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'input' WHEN turn % 3 = 1 THEN 'input_related' ELSE 'inquiry' END AS type FROM conversations")
+def _(s, d):
+    key = F.when(F.col("turn") % 3 == 0, "input").when(F.col("turn") % 3 == 1, "related_query").otherwise("inquiry")
+    return table(s, d, "conversations").select("conv_id", "turn", chat.message_type(F.to_json(F.create_map(key, F.lit("x")))).alias("type"))
+
+
+@query("chat_has_answer", f"WITH m AS (SELECT * FROM {MESSAGES}), k AS (SELECT * FROM m WHERE conv_id IN (SELECT conv_id FROM m WHERE type = 'answer')) SELECT conv_id, turn, role, type, text FROM k UNION ALL SELECT conv_id, max(turn) + 1, 'assistant', 'end', 'end' FROM k GROUP BY conv_id")
+def _(s, d):
+    return chat.saved(messages(s, d))
+
+
+@query("chat_component", f"SELECT conv_id, turn, CASE WHEN role = 'tool' THEN 'tool_result' WHEN type = 'input' THEN 'user_message' WHEN type = 'answer' THEN 'answer' WHEN type = 'related' THEN 'related_queries' END AS component FROM {MESSAGES}")
+def _(s, d):
+    return messages(s, d).select("conv_id", "turn", chat.component(F.col("role"), F.col("type"), F.lit(True)).alias("component"))
+
+
+@query("chat_group", "SELECT conv_id AS id, string_agg(role, ',' ORDER BY turn, role) AS components, arg_min(turn % 2 = 0, turn) AS is_collapsed FROM (SELECT DISTINCT conv_id, turn, role FROM conversations) GROUP BY conv_id")
+def _(s, d):
+    p = table(s, d, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("seq"), F.col("role").alias("component"), (F.col("turn") % 2 == 0).alias("is_collapsed")).distinct()
+    return chat.grouped(p).select("id", F.array_join("components", ",").alias("components"), "is_collapsed")
+
+
+@query("history_label", "WITH m AS (SELECT max(ts) AS t FROM events) SELECT event_id, CASE WHEN date_diff('day', ts::DATE, t::DATE) = 0 THEN 'Today, ' || strftime(ts, '%I:%M %p') WHEN date_diff('day', ts::DATE, t::DATE) = 1 THEN 'Yesterday, ' || strftime(ts, '%I:%M %p') ELSE strftime(ts, '%m/%d/%Y, %I:%M %p') END AS label FROM events, m")
+def _(s, d):
+    e = table(s, d, "events")
+    return e.crossJoin(e.agg(F.max("ts").alias("t"))).select("event_id", chat.history_label(F.col("ts"), F.col("t")).alias("label"))
+
+
+@query("form_text", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'a, ' ELSE '' END || 'more' AS text FROM conversations")
+def _(s, d):
+    form = F.when(F.col("turn") % 2 == 0, F.lit('{"a":"on","b":"off","additional_query":"more"}')).otherwise(F.lit('{"a":"off","additional_query":"more"}'))
+    return table(s, d, "conversations").select("conv_id", "turn", chat.form_text(form).alias("text"))
+
+
+@query("url_path_host", r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages")
+def _(s, d):
+    return table(s, d, "pages").select("page_id", F.expr("parse_url(url, 'HOST')").alias("host"), F.expr("coalesce(parse_url(url, 'PATH'), '')").alias("path"))
+
+
+STATUS = {"O": "open", "F": "done"}
+
+
+@query("status_filter", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'done' END AS status FROM orders WHERE o_orderstatus IN ('O', 'P')")
+def _(s, d):
+    names = F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv])
+    return table(s, d, "orders").where(F.col("o_orderstatus").isin("O", "P")).select("o_orderkey", F.try_element_at(names, F.col("o_orderstatus")).alias("status"))
+
+
+@query("status_facets", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY ALL")
+def _(s, d):
+    return chat.facets(table(s, d, "orders"), "o_orderstatus")
+
+
+@query("task_page", "SELECT p_partkey AS id, p_name AS title, p_brand AS status FROM part WHERE contains(lower(p_name), 'a') ORDER BY p_name DESC, id LIMIT 20 OFFSET 20")
+def _(s, d):
+    return chat.page(table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("status")), "A", descending=True, size=20, number=1)
+
+
+# ---- evaluation
+
+
+@query("latency_percentiles", "WITH l AS (SELECT list(value ORDER BY value) AS v FROM events WHERE value IS NOT NULL) SELECT round(list_avg(v), 6) AS mean, v[(len(v) * 0.5)::DOUBLE::BIGINT + 1] AS p50, v[floor(len(v) * 0.95)::BIGINT + 1] AS p95, v[floor(len(v) * 0.99)::BIGINT + 1] AS p99, v[-1] AS max, round(1000 / list_avg(v), 6) AS per_second FROM l")
+def _(s, d):
+    return evaluate.latencies(table(s, d, "events"), "value")
+
+
+@query("throughput", "SELECT round(count(*) / (epoch(max(ts)) - epoch(min(ts))), 6) AS per_second FROM events")
+def _(s, d):
+    return table(s, d, "events").agg(F.round(F.count("*") / (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) * 1e6, 6).alias("per_second"))
+
+
+@query("top1_accuracy", "WITH n AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.label = b.label AS same, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])**2, 9), b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id < 50 AND b.vec_id >= 50) SELECT count(*) AS queries, round(avg(same::INTEGER) * 100, 6) AS accuracy FROM n WHERE r = 1")
+def _(s, d):
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    found = retrieval.knn_blocks(vectors(s, d).where("id >= 50"), asked_vectors(s, d, 50), 1)
+    relevant = e.where("id < 50").select(F.col("id").alias("query_id"), "label").join(e, "label")
+    return evaluate.accuracy(found, relevant)
+
+
+@query("lotte_filter", "SELECT item_id FROM benchmark WHERE item_id * 700 < 10000 OR item_id * 900 < 10000")
+def _(s, d):
+    return evaluate.answerable(table(s, d, "benchmark").withColumn("answer_ids", F.array(F.col("item_id") * 700, F.col("item_id") * 900))).select("item_id")
+
+
+@query("stream_ingest")
+def _(s, d):
+    """The benchmark texts as files, taken in by a stream that ends when all are read."""
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        import tempfile
+
+        base = "file://" + tempfile.mkdtemp(prefix="skein-")
+    import uuid
+
+    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    table(s, d, "benchmark").select(F.regexp_replace("text", "\n", " ").alias("value")).repartition(4).write.text(f"{base}/in")
+    ingest.stream(s, f"{base}/in", f"{base}/out", f"{base}/seen")
+    return s.read.parquet(f"{base}/out").select("document_name", "chunk_no", "chunk_text")
+
+
