@@ -10,8 +10,9 @@ their weights, the weighted Jaccard similarity.
 
 BANDS bands of ROWS coordinates are joined; a pair counts as near if its signatures agree in THRESHOLD of the
 coordinates (standard error at most 0.036). At similarity 0.5 a pair meets in a band with probability 0.955, at 0.6 0.999.
-In a bucket the least document is hub and the others are held against it; those that aren't near it form the bucket of the
-next round, until none are left, so no bucket is capped and none costs all its pairs. Groups are the connected components.
+In a bucket the least document is hub and the others are held against it, so copies by the thousand cost one comparison
+each; those that aren't near it (documents with a passage in common, say) are held against each other, a hub at a time.
+No bucket is capped. Groups are the connected components.
 
 Result of groups(): doc_id, group_id (least doc_id of the group), kept, similarity to the hub it met (1 for copies and for the
 kept one); only groups of two or more documents.
@@ -40,6 +41,8 @@ K = ROWS * BANDS
 THRESHOLD = 0.5
 #: Darts of a region on average; only how the work is laid out.
 CELL = 4
+#: Members of a bucket that one task holds against each other; larger buckets are cut into parts and every two parts compared.
+PART = 2_000
 #: Bits of an element's hash that tell it from others.
 ELEMENT = 44
 BIG = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -183,25 +186,49 @@ def agreement(a, b):
     return pd.Series((x == y).mean(1))
 
 
-def near_pairs(one: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def members_near(threshold: float):
+    """Near pairs among the members of a bucket's part, or between two parts: a hub at a time, held against all that are left."""
+
+    def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        part, ids = t.column("part").to_numpy(), t.column("id").to_pylist()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
+        least = np.ceil(threshold * sig.shape[1] - 1e-9)
+        low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
+        left, others = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        out = []
+        while len(left):
+            hub, left = left[0], left[1:]
+            among = left if low == high else others
+            if not len(among):
+                break
+            same = (sig[among] == sig[hub]).sum(1)
+            near = same >= least
+            out += [(*sorted((ids[hub], ids[i])), k / sig.shape[1]) for i, k in zip(among[near].tolist(), same[near].tolist(), strict=True)]
+            if low == high:
+                left = left[~near]
+        cols = list(zip(*out, strict=True)) if out else [()] * 3
+        return pa.table({"a": pa.array(cols[0], pa.string()), "b": pa.array(cols[1], pa.string()), "similarity": pa.array(cols[2], pa.float64())})
+
+    return one
+
+
+def near_pairs(one: DataFrame, threshold: float = THRESHOLD, part: int = PART) -> DataFrame:
     """(a, b, similarity) with a < b, enough to connect what is near; one: id, sig, bands."""
-    spark = one.sparkSession
     bucket = one.select(F.explode("bands").alias("band"), "id").groupBy("band").agg(F.sort_array(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)
-    left = C.written(bucket.groupBy("ids").agg(F.first("band").alias("band")).select("band", "ids"), "buckets")  # many bands hold the same documents
+    lists = C.written(bucket.groupBy("ids").agg(F.first("band").alias("band")).select("band", "ids"), "buckets")  # many bands hold the same documents
     sigs = one.select("id", "sig")
-    found = None
-    while not left.isEmpty():
-        star = left.select("band", F.element_at("ids", 1).alias("a"), F.explode(F.slice("ids", F.lit(2), F.size("ids") - 1)).alias("b"))
-        pairs = star.select("a", "b").distinct()
-        held = pairs.join(sigs.withColumnsRenamed({"id": "a", "sig": "x"}), "a").join(sigs.withColumnsRenamed({"id": "b", "sig": "y"}), "b")
-        good = C.written(held.select("a", "b", agreement("x", "y").alias("similarity")).where(F.col("similarity") >= threshold), "near")
-        found = good if found is None else found.unionByName(good)
-        # what isn't near its hub stays together for the next round
-        rest = star.join(good.select("a", "b"), ["a", "b"], "left_anti").groupBy("band").agg(F.sort_array(F.collect_set("b")).alias("ids")).where(F.size("ids") > 1)
-        last, left = left, C.written(rest, "buckets")
-        C.drop(spark, last.skein_path)
-    C.drop(spark, left.skein_path)
-    return found if found is not None else spark.createDataFrame([], "a string, b string, similarity double")
+    star = lists.select("band", F.element_at("ids", 1).alias("a"), F.explode(F.slice("ids", F.lit(2), F.size("ids") - 1)).alias("b"))
+    held = star.select("a", "b").distinct().join(sigs.withColumnsRenamed({"id": "a", "sig": "x"}), "a").join(sigs.withColumnsRenamed({"id": "b", "sig": "y"}), "b")
+    good = C.written(held.select("a", "b", agreement("x", "y").alias("similarity")).where(F.col("similarity") >= threshold), "near")
+    # what isn't near its bucket's hub is held against each other, in parts of bounded size if it is much
+    rest = star.join(good.select("a", "b"), ["a", "b"], "left_anti").groupBy("band").agg(F.sort_array(F.collect_set("b")).alias("ids")).where(F.size("ids") > 1)
+    rest = rest.groupBy("ids").agg(F.first("band").alias("band")).withColumn("parts", F.ceil(F.size("ids") / F.lit(part)).cast("int"))
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    spread = rest.select("band", "parts", F.explode("ids").alias("id")).withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = spread.select("band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id")
+    more = placed.join(sigs, "id").groupBy("band", "low", "high").applyInArrow(members_near(threshold), "a string, b string, similarity double")
+    return good.unionByName(more)
 
 
 def components(pairs: DataFrame) -> DataFrame:
