@@ -8,8 +8,8 @@ Candidates are parts of a credential, each with its place in the text and a stre
     endpoint  connection strings with a password in them, strong; URLs and IPv4 addresses, weak
 
 A scope is a window of SCOPE characters within one document. Parts of different kinds whose spans lie within SCOPE of
-each other are linked by an interval join: both sides fall into buckets of SCOPE characters, a part meets the parts of its
-own and the next bucket, and the exact distance decides. A strong part is always reported. A weak part is reported only
+each other are linked by an interval join: both sides fall into all buckets of SCOPE characters that they (and, on one side, the scope around
+them) touch, meet in the first that both have, and the exact distance decides. A strong part is always reported. A weak part is reported only
 where the kind that completes it stands beside it: a weak secret beside an access identifier or an endpoint, a weak
 access identifier or endpoint beside a secret. Two weak parts complete each other only if one is a secret.
 
@@ -24,6 +24,7 @@ stands, else the one that starts first, else the longer. Columns other than doc_
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +47,7 @@ RULES = [
     ("endpoint", "ipv4", False, r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9.])", r"[0-9]\.[0-9]"),
     ("access", "address", False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,5}", "@"),
 ]
-MAYBE = r"[0-9@]|://|PRIVATE KEY|[:=]"
+MAYBE = r"[0-9@:=]|A[KS]IA|PRIVATE KEY|gh[pousr]_|xox|sk_live_"
 PARTS = "doc_key string, doc_id long, kind string, rule string, strong boolean, start int, end int"
 
 
@@ -56,16 +57,21 @@ def parts(text: str) -> list[tuple[int, int, str, str, bool]]:
     for kind, rule, strong, pattern, hint in COMPILED:
         if hint.search(text):
             found += [(not strong, m.start(), -m.end(), kind, rule) for m in pattern.finditer(text)]
-    taken: dict[str, list[tuple[int, int]]] = {}
+    strong: dict[str, tuple[list[int], list[int]]] = {}
+    weak_end: dict[str, int] = {}
     out = []
     for weak, start, end, kind, rule in sorted(found):
-        spans = taken.setdefault(kind, [])
-        if weak and any(a < -end and start < b for a, b in spans):
+        end = -end
+        starts, ends = strong.setdefault(kind, ([], []))
+        i = bisect_right(starts, start)
+        if (i and ends[i - 1] > start) or (i < len(starts) and starts[i] < end) or (weak and weak_end.get(kind, 0) > start):
             continue
-        if not weak and spans and any(a < -end and start < b for a, b in spans[-2:]):
-            continue
-        spans.append((start, -end))
-        out.append((start, -end, kind, rule, not weak))
+        if weak:
+            weak_end[kind] = end
+        else:
+            starts.append(start)
+            ends.append(end)
+        out.append((start, end, kind, rule, not weak))
     return sorted(out)
 
 
@@ -97,12 +103,14 @@ def scan_parts(docs: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The reported parts. Both sides of the join hash on (doc_key, bucket), so a document of many parts is many groups."""
     p = C.written(scan_parts(docs), "secret-parts")
-    left = p.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope))))
-    right = p.select("doc_key", F.col("kind").alias("k2"), F.col("rule").alias("r2"), F.col("start").alias("s2"), F.col("end").alias("e2"), F.floor(F.col("start") / scope).alias("bucket"))
+    bucket = lambda x: F.floor(x / scope)
+    left = p.withColumn("low", bucket(F.col("start") - scope)).withColumn("bucket", F.explode(F.sequence(F.col("low"), bucket(F.col("end") + scope))))
+    right = p.select("doc_key", F.col("kind").alias("k2"), F.col("rule").alias("r2"), F.col("start").alias("s2"), F.col("end").alias("e2"), bucket(F.col("start")).alias("low2"), F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("end")))).alias("bucket"))
+    once = F.col("bucket") == F.greatest("low", "low2")  # a pair counts in the first bucket that both have
     completes = (F.col("kind") != F.col("k2")) & ((F.col("kind") == "secret") | (F.col("k2") == "secret"))
     near = (F.col("s2") - F.col("end") <= scope) & (F.col("start") - F.col("e2") <= scope)
     keys = ["doc_key", "doc_id", "kind", "rule", "strong", "start", "end"]
-    links = left.join(right, ["doc_key", "bucket"]).where(completes & near).groupBy(*keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_set("r2")).alias("names"))
+    links = left.join(right, ["doc_key", "bucket"]).where(once & completes & near).groupBy(*keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_set("r2")).alias("names"))
     alone = p.where("strong").select(*keys, F.lit(0).cast("long").alias("n"), F.array().cast("array<string>").alias("names"))
     both = links.unionByName(alone).groupBy(*keys).agg(F.max("n").alias("n_linked"), F.max_by("names", "n").alias("names"))
     return both.select("doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "kind", "rule", F.when(F.col("strong"), "strong").otherwise("weak").alias("strength"), "n_linked", F.concat_ws(",", "names").alias("partners"))
