@@ -92,3 +92,39 @@ def page(tasks: DataFrame, text: str = "", statuses: list[str] | None = None, or
     if statuses:
         tasks = tasks.where(F.col("status").isin(statuses))
     return tasks.orderBy(F.desc(order_by) if descending else F.asc(order_by), "id").offset(number * size).limit(size)
+
+
+def newest(chats: DataFrame, n: int = 20) -> DataFrame:
+    """Chats by their last activity, newest first."""
+    return chats.orderBy(F.desc("last"), "conv_id").limit(n)
+
+
+def shared(chats: DataFrame) -> DataFrame:
+    """Chats that anybody may see: those with a share path."""
+    return chats.where(F.coalesce(F.col("share_path"), F.lit("")) != "")
+
+
+def may_share(owner: Column, user: Column) -> Column:
+    return F.coalesce(owner == user, F.lit(False))
+
+
+def suggestions(items: Column) -> Column:
+    return F.filter(items, lambda x: x != "")
+
+
+def page_title(title: Column) -> Column:
+    return F.coalesce(F.nullif(F.substring(title, 1, 50), F.lit("")), F.lit("Search"))
+
+
+def all_but_last(messages: Column) -> Column:
+    return F.slice(messages, F.lit(1), F.greatest(F.size(messages) - 1, F.lit(0)))
+
+
+def task_rows(tasks: DataFrame) -> DataFrame:
+    """Tasks for display, nulls as empty texts."""
+    return tasks.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in tasks.columns])
+
+
+def snippets(results_: DataFrame, n: int = 3, size: int = 100) -> DataFrame:
+    """The first n results of a query, texts cut to `size`."""
+    return results_.where(F.col("rank") <= n).withColumn("text", F.substring("text", 1, size))

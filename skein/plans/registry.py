@@ -600,6 +600,39 @@ def _(s, d):
     return chat.page(table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("status")), "A", descending=True, size=20, number=1)
 
 
+@query("chat_newest", "SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id ORDER BY last DESC, conv_id LIMIT 20")
+def _(s, d):
+    return chat.newest(table(s, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last")))
+
+
+@query("chat_shared", "SELECT conv_id, '/share/' || conv_id AS share_path, conv_id % 2 = 0 AS mine FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 3 = 0")
+def _(s, d):
+    c = table(s, d, "conversations").select("conv_id").distinct().withColumn("share_path", F.when(F.col("conv_id") % 3 == 0, F.format_string("/share/%d", "conv_id")))
+    return chat.shared(c).withColumn("mine", chat.may_share(F.col("conv_id") % 2, F.lit(0)))
+
+
+@query("suggestions", "SELECT conv_id, turn, array_to_string(list_filter([role, '', text], lambda x: x <> ''), '|') AS items FROM conversations")
+def _(s, d):
+    return table(s, d, "conversations").select("conv_id", "turn", F.array_join(chat.suggestions(F.array("role", F.lit(""), "text")), "|").alias("items"))
+
+
+@query("page_title", "SELECT conv_id, turn, coalesce(nullif(substring(text, 1, 50), ''), 'Search') AS title FROM conversations")
+def _(s, d):
+    return table(s, d, "conversations").select("conv_id", "turn", chat.page_title(F.col("text")).alias("title"))
+
+
+@query("chat_split_last", "SELECT conv_id, coalesce(string_agg(role, ',' ORDER BY turn, role) FILTER (n > 1), '') AS before FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) AS n FROM conversations) GROUP BY conv_id")
+def _(s, d):
+    roles = F.array_sort(F.collect_list(F.struct("turn", "role")))["role"]
+    return table(s, d, "conversations").groupBy("conv_id").agg(roles.alias("r")).select("conv_id", F.array_join(chat.all_but_last(F.col("r")), ",").alias("before"))
+
+
+@query("snippets", f"WITH {bm25_sql(OR_TEXT, False)} SELECT t.id, substring(d.text, 1, 100) AS text FROM {ranked_sql('hits', 'score DESC', 3)} t JOIN documents d ON d.doc_id = t.id")
+def _(s, d):
+    found = search.with_text(retrieval.text_search(documents(s, d), asked_text(s, OR_TEXT)), documents(s, d))
+    return chat.snippets(found).select("id", "text")
+
+
 # ---- evaluation
 
 

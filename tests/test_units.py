@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.functions import vector as V
-from skein.operators import conversation, evaluate, features, fusion, retrieval, signal
+from skein.operators import conversation, embed, evaluate, features, fusion, retrieval, signal
 from skein.plans import search
 from skein.plans.store import Index
 from skein.sources import files, wal
@@ -230,3 +230,10 @@ def test_chat_shapes(spark):
     role, content = conversation.as_assistant(F.col("role"), F.col("text"))
     assert {(r[0], r[1]) for r in m.select(role, content).collect()} >= {("assistant", '"say \\"x\\""')}
     assert conversation.saved(m).count() == 0
+
+
+def test_embedding_plug_in(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, None)], "id long, t string")
+    got = {r.id: r.e for r in embed.embed(df, "t", lambda: lambda texts: np.array([[len(x), 1.0] for x in texts]), "e", role="query").collect()}
+    assert got == {1: [9.0, 1.0], 2: [0.0, 1.0]}
+    assert len(embed.embed(df, "t").where("id = 1").first().embedding) == 64
