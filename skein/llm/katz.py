@@ -38,8 +38,8 @@ from . import common as C
 
 K = 5
 MIN_COUNT = 2
-SPLIT = 4_000_000
-HEAVY = 2_000_000
+SPLIT = 2_000_000
+HEAVY = 200_000
 SENT = "kind string, split long, bucket int, blob binary, hist array<long>"
 SCHEMA = "doc_id long, n_words long, log_prob double, perplexity double"
 
@@ -307,10 +307,11 @@ def score(docs: DataFrame, path: str | None = None, min_count: int = MIN_COUNT,
     n, counts = statistics(words)
     d1 = discounts(counts)
     answers = words.where("kind = 'answer'")
-    pairs = keep(answers.groupBy("split").applyInArrow(ask_bigrams(splits, buckets, heavy), SENT).groupBy("bucket").applyInArrow(count_bigrams(n, d1, min_count), SENT), "bigrams")
+    # answers are small beside the splits they belong to: as many tasks as buckets, whatever the answers' size
+    pairs = keep(answers.repartition(buckets, "split").groupBy("split").applyInArrow(ask_bigrams(splits, buckets, heavy), SENT).groupBy("bucket").applyInArrow(count_bigrams(n, d1, min_count), SENT), "bigrams")
     d2 = discounts(statistics(pairs)[1])
     both = answers.select("split", "bucket", "blob", F.lit(1).alias("of")).union(pairs.where("kind = 'answer'").select("split", "bucket", "blob", F.lit(2)))
-    return both.groupBy("split").applyInArrow(score_split(splits, buckets, heavy, n, d1, d2), SCHEMA)
+    return both.repartition(buckets, "split").groupBy("split").applyInArrow(score_split(splits, buckets, heavy, n, d1, d2), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
