@@ -153,8 +153,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
         for whole in it:
             for b in C.slices(whole):
-                text = b.column("text")
-                b = b.filter(pa.compute.is_valid(text))
+                b = b.filter(pa.compute.is_valid(b.column("text")))
                 text = b.column("text")
                 n = b.num_rows
                 if not n:
@@ -162,7 +161,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 doc, element, weight, h, at = weighted(*C.codepoints(text))
                 sig = signatures(doc, element, weight, n)
                 some = np.diff(at) > 0
-                tie = [xxhash.xxh3_128_digest(s.as_buffer()) for s in text]
+                tie = b.column("tie").to_pylist()
                 digest = [xxhash.xxh3_128_digest(h[i:j].tobytes()) if i < j else b"=" + t for i, j, t in zip(at[:-1].tolist(), at[1:].tolist(), tie, strict=True)]
                 key = np.zeros((n, BANDS), C.U)
                 for r in range(ROWS):
@@ -170,9 +169,10 @@ def sketch(docs: DataFrame) -> DataFrame:
                 key = C.mix(key + np.arange(BANDS, dtype=C.U)).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]), pa.int32()), pa.array(key[some].reshape(-1)))
                 raw = (sig >> C.U(48)).astype("<u2")
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(tie, pa.binary()), pa.array([x.tobytes() for x in raw], pa.binary()), lists], names=["doc_id", "digest", "tie", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest, pa.binary()), b.column("tie"), pa.array([x.tobytes() for x in raw], pa.binary()), lists], names=["doc_id", "digest", "tie", "sig", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, SCHEMA)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.unhex(F.md5(text)).alias("tie")).mapInArrow(batches, SCHEMA)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -285,13 +285,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     maybe = docs.join(suspect, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
     clear = docs.join(suspect, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
 
-    @F.pandas_udf("string")
-    def tie(s):
-        import xxhash
-
-        return s.map(lambda x: None if x is None else xxhash.xxh3_128_hexdigest(x.encode()).upper())
-
-    met = maybe.withColumn("__text_tie", tie(text)).join(listed, same & (F.col("__text_tie") == F.col("__tie")), "left")
+    met = maybe.withColumn("__text_tie", F.upper(F.md5(text))).join(listed, same & (F.col("__text_tie") == F.col("__tie")), "left")
     unlisted = met.where("__tie is null").select(*names)
     nth = F.row_number().over(Window.partitionBy("__id", "__tie").orderBy(F.lit(1)))
     one = met.where("__first").withColumn("__nth", nth).where("__nth = 1").select(*names)

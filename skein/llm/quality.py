@@ -117,17 +117,17 @@ def fit(texts: pa.Array, good: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray
     n = len(good)
     if not n or good.all() or not good.any():
         return np.zeros(KINDS * (1 << BITS) + 1, np.float32), 0.0, 40.0 if not n or good.all() else -40.0
-    cols, vals, ptr = [], [], [np.zeros(n, np.int64)]
-    cp, offsets = C.codepoints(texts)
-    for k, (x, at) in enumerate(features(cp, offsets)):
-        doc = np.repeat(np.arange(n), np.diff(at))
-        key, count = np.unique(doc << BITS | x, return_counts=True)
-        d = key >> BITS
-        vals.append((SCALE * count / np.maximum(np.diff(at), 1)[d]).astype(np.float32))
-        cols.append(((key & ((1 << BITS) - 1)) + (k << BITS)).astype(np.int32))
-        ptr.append(d)
-    rows = np.concatenate([p.astype(np.int32) for p in ptr[1:]])
-    cols, vals = np.concatenate(cols), np.concatenate(vals)
+    rows, cols, vals, base = [], [], [], 0
+    for part in C.slices(pa.RecordBatch.from_arrays([texts], names=["text"])):  # a slice at a time: all n-grams of the sample at once would take a gigabyte
+        for k, (x, at) in enumerate(features(*C.codepoints(part.column(0)))):
+            doc = np.repeat(np.arange(part.num_rows), np.diff(at))
+            key, count = np.unique(doc << BITS | x, return_counts=True)
+            d = key >> BITS
+            vals.append((SCALE * count / np.maximum(np.diff(at), 1)[d]).astype(np.float32))
+            cols.append(((key & ((1 << BITS) - 1)) + (k << BITS)).astype(np.int32))
+            rows.append((d + base).astype(np.int32))
+        base += part.num_rows
+    rows, cols, vals = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
     seen = np.bincount(cols, minlength=KINDS << BITS) > 0  # features of the sample alone are fitted
     used, cols = np.flatnonzero(seen), (np.cumsum(seen, dtype=np.int32) - 1)[cols]
     train = ~fold if (good[~fold].any() and not good[~fold].all()) else np.ones(n, bool)
