@@ -8,11 +8,12 @@ earliest dart. Darts are thrown up to rank (ln K + 2) * K / total weight, so a d
 coordinate is empty the bound doubles. Two documents agree in a coordinate with probability sum(min) / sum(max) of
 their weights, the weighted Jaccard similarity.
 
-BANDS bands of ROWS coordinates are joined; a pair counts as near if its signatures agree in THRESHOLD of the
-coordinates (standard error at most 0.036). At similarity 0.5 a pair meets in a band with probability 0.955, at 0.6 0.999.
-In a bucket the least document is hub and the others are held against it, so copies by the thousand cost one comparison
-each; those that aren't near it (documents with a passage in common, say) are held against each other, a hub at a time.
-No bucket is capped. Groups are the connected components.
+BANDS bands of ROWS coordinates are joined. At similarity 0.5 a pair meets in a band with probability 0.955, at 0.6 0.999.
+A pair that met counts as near if the similarity of its documents' own runs, with their counts, is at least THRESHOLD;
+signatures only choose what is looked at. In a bucket the least document is hub and the others are held against it, so copies by the thousand
+cost one comparison each. Where some aren't near it (documents with a passage in common, say) all of the bucket are held
+against each other, but for pairs that near ones connect already; of these a pair is looked at if its signatures agree in
+all but ERRORS standard errors of THRESHOLD. No bucket is capped. Groups are the connected components.
 
 Result of groups(): doc_id, group_id (least doc_id of the group), kept, similarity to the hub it met (1 for copies and for the
 kept one); only groups of two or more documents.
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,10 +40,16 @@ from . import common as C
 SHINGLE, ROWS, BANDS = 2, 4, 48
 K = ROWS * BANDS
 THRESHOLD = 0.5
+#: Standard errors (at most 0.036) that a signature may fall short of the threshold before the runs themselves are compared.
+ERRORS = 6
 #: Darts of a region on average; only how the work is laid out.
 CELL = 4
 #: Members of a bucket that one task holds against each other; larger buckets are cut into parts and every two parts compared.
 PART = 2_000
+#: Bytes of runs that a part has on average at most.
+PART_BYTES = 32 << 20
+#: Members held against one hub in a row; a hub of more is sent to several tasks.
+LOT = 100_000
 #: Bits of an element's hash that tell it from others.
 ELEMENT = 44
 BIG = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -186,47 +193,124 @@ def agreement(a, b):
     return pd.Series((x == y).mean(1))
 
 
+def name() -> Column:
+    """Ids that sort as doc_id does, nulls last; the text's digest breaks ties."""
+    return F.concat(F.when(F.col("doc_id").isNull(), "z").otherwise(F.concat(F.when(F.col("doc_id") < 0, "a").otherwise("b"), F.lpad(F.hex(F.col("doc_id")), 16, "0"))), F.hex("tie"))
+
+
+def runs_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and runs of the documents that ids names: a sorted 64-bit key for each run of words and time it occurs, so sets of keys compare as weighted sets of runs."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for b in C.slices(whole):
+                doc, element, weight, _, _ = weighted(*C.codepoints(b.column("text")))
+                times = weight.astype(np.int64)
+                nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                of, key = np.repeat(doc, times), C.mix(np.repeat(element, times) * C.BASE + nth.astype(C.U))
+                key = key[np.lexsort((key, of))]
+                at = np.searchsorted(of, np.arange(b.num_rows + 1)).tolist()
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([key[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["id", "runs"])
+
+    text = F.col("text").cast("string")
+    named = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.unhex(F.md5(text)).alias("tie")).where("text is not null").select(name().alias("id"), "text")
+    return named.join(ids, "id", "left_semi").mapInArrow(batches, "id string, runs binary").dropDuplicates(["id"])
+
+
+def similarities(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarity of a set of keys and each of the others; none is empty."""
+    if not others:
+        return np.zeros(0)
+    lens = np.array([len(x) for x in others])
+    key = np.concatenate(others)
+    met = one[np.minimum(np.searchsorted(one, key), len(one) - 1)] == key
+    both = np.add.reduceat(met.astype(np.int64), np.cumsum(lens) - lens)
+    return both / (len(one) + lens - both)
+
+
+def hubs_near(threshold: float):
+    """Near pairs of rows (a, b, runs) that follow a row of their hub a, whose b is null."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = np.empty(0, C.U)
+        for t in it:
+            a, b = t.column("a").to_pylist(), t.column("b").to_pylist()
+            keys = [np.frombuffer(x.as_buffer(), C.U) for x in t.column("runs")]
+            out = []
+            cut = [0, *(i for i in range(1, len(a)) if b[i] is None), len(a)]
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                if i < j and b[i] is None:
+                    hub, i = keys[i], i + 1
+                out += [(a[k], b[k], x) for k, x in zip(range(i, j), similarities(hub, keys[i:j]).tolist(), strict=True) if x >= threshold]
+            cols = list(zip(*out, strict=True)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["a", "b", "similarity"])
+
+    return batches
+
+
 def members_near(threshold: float):
-    """Near pairs among the members of a bucket's part, or between two parts: a hub at a time, held against all that are left."""
+    """Near pairs among the members of a bucket's part, or between two parts: each held against all others that it isn't connected to yet.
+
+    Members with `near` are connected by the bucket's hub. Without runs the signatures decide."""
 
     def one(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
         part, ids = t.column("part").to_numpy(), t.column("id").to_pylist()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
-        least = np.ceil(threshold * sig.shape[1] - 1e-9)
+        keys = [np.frombuffer(x, C.U) for x in t.column("runs").to_pylist()] if "runs" in t.column_names else None
+        k = sig.shape[1]
+        least = np.ceil((threshold if keys is None else threshold - ERRORS * math.sqrt(threshold * (1 - threshold) / k)) * k - 1e-9)
         low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
-        left, others = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        group = np.where(t.column("near").to_numpy(), -1, np.arange(len(ids)))
+        others = np.flatnonzero(part == high)
         out = []
-        while len(left):
-            hub, left = left[0], left[1:]
-            among = left if low == high else others
-            if not len(among):
-                break
-            same = (sig[among] == sig[hub]).sum(1)
-            near = same >= least
-            out += [(*sorted((ids[hub], ids[i])), k / sig.shape[1]) for i, k in zip(among[near].tolist(), same[near].tolist(), strict=True)]
+        for i in np.flatnonzero(part == low):
+            among = others[group[others] != group[i]]
             if low == high:
-                left = left[~near]
+                among = among[among > i]
+            same = (sig[among] == sig[i]).sum(1)
+            among, like = among[same >= least], same[same >= least] / k
+            if keys is not None:
+                like = similarities(keys[i], [keys[j] for j in among.tolist()])
+                among, like = among[like >= threshold], like[like >= threshold]
+            out += [(*sorted((ids[i], ids[j])), x) for j, x in zip(among.tolist(), like.tolist(), strict=True)]
+            if len(among):
+                group[np.isin(group, group[among])] = group[i]
         cols = list(zip(*out, strict=True)) if out else [()] * 3
         return pa.table({"a": pa.array(cols[0], pa.string()), "b": pa.array(cols[1], pa.string()), "similarity": pa.array(cols[2], pa.float64())})
 
     return one
 
 
-def near_pairs(one: DataFrame, threshold: float = THRESHOLD, part: int = PART) -> DataFrame:
-    """(a, b, similarity) with a < b, enough to connect what is near; one: id, sig, bands."""
+def near_pairs(one: DataFrame, threshold: float = THRESHOLD, part: int = PART, docs: DataFrame | None = None) -> DataFrame:
+    """(a, b, similarity) with a < b, enough to connect what is near; one: id, sig, bands. Runs are compared as docs have them; without docs the signatures decide."""
     bucket = one.select(F.explode("bands").alias("band"), "id").groupBy("band").agg(F.sort_array(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)
     lists = C.written(bucket.groupBy("ids").agg(F.first("band").alias("band")).select("band", "ids"), "buckets")  # many bands hold the same documents
     sigs = one.select("id", "sig")
     star = lists.select("band", F.element_at("ids", 1).alias("a"), F.explode(F.slice("ids", F.lit(2), F.size("ids") - 1)).alias("b"))
-    held = star.select("a", "b").distinct().join(sigs.withColumnsRenamed({"id": "a", "sig": "x"}), "a").join(sigs.withColumnsRenamed({"id": "b", "sig": "y"}), "b")
-    good = C.written(held.select("a", "b", agreement("x", "y").alias("similarity")).where(F.col("similarity") >= threshold), "near")
-    # what isn't near its bucket's hub is held against each other, in parts of bounded size if it is much
-    rest = star.join(good.select("a", "b"), ["a", "b"], "left_anti").groupBy("band").agg(F.sort_array(F.collect_set("b")).alias("ids")).where(F.size("ids") > 1)
-    rest = rest.groupBy("ids").agg(F.first("band").alias("band")).withColumn("parts", F.ceil(F.size("ids") / F.lit(part)).cast("int"))
+    held = star.select("a", "b").distinct()
+    if docs is None:
+        met = held.join(sigs.withColumnsRenamed({"id": "a", "sig": "x"}), "a").join(sigs.withColumnsRenamed({"id": "b", "sig": "y"}), "b")
+        near = met.select("a", "b", agreement("x", "y").alias("similarity")).where(F.col("similarity") >= threshold)
+        weight = one.select("id", F.lit(0).alias("bytes"))
+    else:
+        runs = C.written(runs_of(docs, lists.select(F.explode("ids").alias("id")).distinct()), "runs")
+        hubs = held.groupBy("a").agg(F.ceil(F.count("*") / F.lit(LOT)).alias("lots"))
+        member = held.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("lots")).alias("lot"), "b").join(runs.withColumnRenamed("id", "b"), "b")
+        hub = hubs.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.lit(None).cast("string").alias("b")).join(runs.withColumnRenamed("id", "a"), "a")
+        rows = hub.unionByName(member).repartition("a", "lot").sortWithinPartitions("a", "lot", F.col("b").asc_nulls_first())
+        near = rows.select("a", "b", "runs").mapInArrow(hubs_near(threshold), "a string, b string, similarity double")
+        sigs, weight = sigs.join(runs, "id"), runs.select("id", F.octet_length("runs").alias("bytes"))
+    good = C.written(near, "near")
+    # where some aren't near their bucket's hub, its members are held against each other, in parts of bounded size if it is much
+    known = star.join(good.select("a", "b", F.lit(True).alias("near")), ["a", "b"], "left").select("band", F.col("b").alias("id"), F.coalesce("near", F.lit(False)).alias("near"))
+    mixed = known.groupBy("band").agg(F.count("*").alias("n"), F.min("near").alias("all")).where("n > 1 and not all").select("band")
+    rest = known.join(mixed, "band", "left_semi")
+    parts = F.greatest(F.ceil(F.count("*") / F.lit(part)), F.ceil(F.sum("bytes") / F.lit(PART_BYTES))).cast("int")
+    size = rest.join(weight, "id").groupBy("band").agg(parts.alias("parts"))
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    spread = rest.select("band", "parts", F.explode("ids").alias("id")).withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = spread.select("band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id")
+    spread = rest.join(size, "band").withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = spread.select("band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "near")
     more = placed.join(sigs, "id").groupBy("band", "low", "high").applyInArrow(members_near(threshold), "a string, b string, similarity double")
     return good.unionByName(more)
 
@@ -249,11 +333,10 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, tie, id (of the exact copies), root, similarity of every document that has a copy or a near one; root is null for a lone document of copies."""
-    # ids that sort as doc_id does, nulls last; the text's digest breaks ties
-    s = C.written(sketch(docs).withColumn("id", F.concat(F.when(F.col("doc_id").isNull(), "z").otherwise(F.concat(F.when(F.col("doc_id") < 0, "a").otherwise("b"), F.lpad(F.hex(F.col("doc_id")), 16, "0"))), F.hex("tie"))), "sketches")
+    s = C.written(sketch(docs).withColumn("id", name()), "sketches")
     copies = s.groupBy("digest").agg(F.min("id").alias("one"), F.count("*").alias("n"))
     ones = s.join(copies.select(F.col("one").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    near = C.written(near_pairs(ones), "pairs")
+    near = C.written(near_pairs(ones, docs=docs), "pairs")
     roots = components(near)
     similar = near.groupBy(F.col("b").alias("one")).agg(F.max("similarity").alias("similarity"))
     named = copies.join(roots.select(F.col("id").alias("one"), "root"), "one", "left").where("n > 1 or root is not null").join(similar, "one", "left")

@@ -1,0 +1,38 @@
+"""Cases that a cut in an operator would lose."""
+
+import collections
+import random
+
+import numpy as np
+
+from skein.llm import neardup
+
+
+def runs(text):
+    w = text.split()
+    return collections.Counter(zip(w, w[1:], strict=False))
+
+
+def test_passage_in_common_is_no_copy(spark):
+    rng = random.Random(4)
+    passage = " ".join(f"shared{i}" for i in range(91))
+    rows = [(i, f"{passage} " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(55))) for i in range(120)]
+    rows += [(1000, " ".join(rows[3][1].split()[:-20]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: runs(t) for i, t in rows}
+    near = {(a, b) for a in sets for b in sets if a < b and 2 * sum((sets[a] & sets[b]).values()) >= sum((sets[a] | sets[b]).values())}
+    want = (3, 1000)
+    assert want in near and all(b == 1000 for _, b in near)
+    pairs = {(r.doc_id, r.group_id) for r in neardup.groups(docs).collect()}
+    assert pairs == {(a, min(x for x, _ in near)) for p in near for a in p}
+
+
+def test_near_members_meet_those_far_from_the_hub(spark):
+    rng = np.random.default_rng(5)
+    sig = rng.integers(0, 60000, (3, neardup.K)).astype("<u2")
+    sig[1, :110] = sig[0, :110]  # the hub and 1 are near, 1 and 2 are near, the hub and 2 are not
+    sig[2, 80:] = sig[1, 80:]
+    rows = [(f"{i}", bytearray(sig[i].tobytes()), [7]) for i in range(3)]
+    one = spark.createDataFrame(rows, "id string, sig binary, bands array<long>")
+    for part in (1000, 1):
+        assert {(r.a, r.b) for r in neardup.near_pairs(one, part=part).collect()} == {("0", "1"), ("1", "2")}
