@@ -3,8 +3,9 @@ r"""Secret scans by multipart credential linking.
 Candidates are parts of a credential, each with its place in the text and a strength:
 
     access    cloud key identifiers (AKIA/ASIA and 16 capitals or digits), strong; addresses (user@host), weak
-    secret    private key blocks, `password=...`, `token = "..."`, known token prefixes, strong; bare strings of 32 to 64
-              hexadecimal digits or 40 of base64 with both cases and digits, weak
+    secret    private key blocks, `password=...`, `token = "..."`, known token prefixes, strong; bare strings of 32
+              hexadecimal digits or more, or of base64 with both cases and digits (40 or more; 20 or more without a slash,
+              18 or more before padding), weak
     endpoint  connection strings with a password in them, strong; URLs and IPv4 addresses, weak
 
 A scope is a window of SCOPE characters within one document. Parts of different kinds whose spans lie within SCOPE of
@@ -16,7 +17,7 @@ access identifier or endpoint beside a secret. Two weak parts complete each othe
 Result: doc_id, start, end (characters of the text), kind, rule, strength, n_linked (parts that complete it), partners
 (rules of these, sorted, distinct). No secret is printed.
 
-Edge cases: null or empty texts have no parts. Repeated rows (same doc_id and text) are one document; rows of one doc_id
+Edge cases: a value starts with eight characters without white space and has no greatest length: in quotes it ends at the closing quote of its line, else at white space, a quote or a bracket. Null or empty texts have no parts. Repeated rows (same doc_id and text) are one document; rows of one doc_id
 and different texts are scopes of their own; a null doc_id is kept. Overlapping spans of one kind: the strong one
 stands, else the one that starts first, else the longer. Columns other than doc_id and text are not read by scan(); redact() keeps all columns.
 """
@@ -37,12 +38,12 @@ from . import common as C
 SCOPE = 400
 RULES = [
     ("access", "key_id", True, r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", "KIA|SIA"),
-    ("secret", "private_key", True, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[\s\S]{0,8000}?-----END [A-Z ]{0,20}PRIVATE KEY-----", "PRIVATE KEY"),
-    ("secret", "known_prefix", True, r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,251}|xox[abprs]-[A-Za-z0-9-]{10,200}|sk_live_[A-Za-z0-9]{16,200})(?![A-Za-z0-9])", "gh[pousr]_|xox|sk_live_"),
-    ("secret", "assignment", True, r"(?i:(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api_?key|access_?key|secret_?key)) {0,2}[:=] {0,2}[\"']?[^\s\"'<>{}()]{8,200}", "(?i)pass|pwd|secret|token|key"),
-    ("secret", "hex", False, r"(?<![A-Za-z0-9+/=_-])[0-9a-f]{32,64}(?![A-Za-z0-9+/=_-])", "[0-9a-f]{32}"),
-    ("secret", "base64", False, r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[a-z])(?=[A-Za-z0-9+/]{0,39}[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])", "[A-Za-z0-9+/]{40}"),
-    ("endpoint", "connection", True, r"[a-z][a-z0-9+]{1,20}://[^\s:/@]{1,100}:[^\s:/@]{1,100}@[^\s/]{1,200}", "://"),
+    ("secret", "private_key", True, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]{0,20}PRIVATE KEY-----", "PRIVATE KEY"),
+    ("secret", "known_prefix", True, r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})(?![A-Za-z0-9])", "gh[pousr]_|xox|sk_live_"),
+    ("secret", "assignment", True, r"(?i:(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api_?key|access_?key|secret_?key))(?:\\?[\"'])? {0,2}[:=] {0,2}(?:\"(?=[^\s\"]{8})(?:[^\"\\\r\n]|\\.)*(?=\")|'(?=[^\s']{8})(?:[^'\\\r\n]|\\.)*(?=')|(?:\\?[\"'])?[^\s\"'<>{}()]{8,})", "(?i)pass|pwd|secret|token|key"),
+    ("secret", "hex", False, r"(?<![A-Za-z0-9+/=_-])[0-9A-Fa-f]{32,}(?![A-Za-z0-9+/=_-])", "[0-9A-Fa-f]{32}"),
+    ("secret", "base64", False, r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?:[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9+]{20,39}|[A-Za-z0-9+/]{18,39}={1,2})(?![A-Za-z0-9+/=_-])", "[A-Za-z0-9+/]{18}"),
+    ("endpoint", "connection", True, r"[a-z][a-z0-9+]{1,20}://[^\s:/@]+:[^\s/@]+@[^\s/]+", "://"),
     ("endpoint", "url", False, r"https?://[A-Za-z0-9.-]{3,200}(?:/[^\s\"'<>]{0,500})?", "://"),
     ("endpoint", "ipv4", False, r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9.])", r"[0-9]\.[0-9]"),
     ("access", "address", False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,5}", "@"),
