@@ -2,9 +2,10 @@
 
 Every run of GRAM words of every document, hashed, is joined to the places where the templates have it. A hit votes for
 the diagonal place - template place; an undamaged copy puts all its votes on one, an inserted or lost word moves the rest
-to the next. Votes are counted by diagonal, diagonals at most SLACK apart are merged, and a span of enough votes is
-verified against the document: the longest common subsequence of template words and words of the span must cover COVER
-of the template and of the span.
+to the next. Votes are counted by diagonal, diagonals at most SLACK apart are merged, and the votes of those that inserted
+or lost passages can still lead to, as COVER allows, are summed. Where the sum is enough, the diagonals with the most votes
+around are verified against the document: the tightest longest common subsequence of template words and words of the
+document, without stray words at its ends, must cover COVER of the template and of the span.
 
 Result: doc_id, template, license, first_word, last_word (word numbers of the span, from 0), n_votes, similarity.
 
@@ -16,6 +17,7 @@ are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,26 +89,43 @@ def candidates(docs: DataFrame, templates: dict[str, tuple[str, str]]) -> DataFr
     by = Window.partitionBy(*who).orderBy("diagonal")
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > SLACK).cast("int"), F.lit(1))
     merged = votes.withColumn("new", new).withColumn("cluster", F.sum("new").over(by)).groupBy(*who, "cluster").agg(F.sum("votes").alias("n_votes"), F.min("first").alias("first"), (F.max("last") + GRAM - 1).alias("last"), F.min("diagonal").alias("start"))
+    # passages between two diagonals of one copy have at most so many words
+    far = F.greatest(F.lit(SLACK), F.ceil((F.col("n_grams") + GRAM - 1) * (1 / COVER - 1)))
+    around = Window.partitionBy(*who).orderBy(F.col("start") / far).rangeBetween(-1, 1)
+    merged = merged.withColumn("most", F.max("n_votes").over(around)).withColumn("all", F.sum("n_votes").over(around)).where("n_votes = most").withColumn("n_votes", F.col("all"))
     return merged.where(F.col("n_votes") >= F.greatest(F.lit(1), F.floor(F.col("n_grams") * VOTES))).select("doc_id", "digest", "template", "first", "last", "start", "n_votes")
 
 
 def common_length(a: list[int], b: list[int]) -> tuple[int, int, int]:
-    """Length of the longest common subsequence, and the first and last place in b of one such."""
-    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i, j] = best[i + 1, j + 1] + 1 if a[i] == b[j] else max(best[i + 1, j], best[i, j + 1])
-    i = j = 0
-    first, last = -1, -1
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            first, last = (j if first < 0 else first), j
-            i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
-            i += 1
+    """Length of the longest common subsequence, and the first and last place in b of its tightest one; words at its ends that cost more cover than they give are left out."""
+    one, mask = 1 << 32, (1 << 32) - 1
+    best = [[0] * (len(b) + 1)]  # length, then the latest start
+    for x in a:
+        up = best[-1]
+        new = [0]
+        for j, y in enumerate(b):
+            v = max(up[j + 1], new[j])
+            if x == y:
+                v = max(v, up[j] + one if up[j] else one + j)
+            new.append(v)
+        best.append(new)
+    longest = best[-1][-1] >> 32
+    if not longest:
+        return 0, -1, -1
+    i, j = len(a), min((j for j, v in enumerate(best[-1]) if v >> 32 == longest), key=lambda j: j - (best[-1][j] & mask))
+    at = []
+    while i and j and best[i][j]:
+        if best[i][j] == best[i - 1][j]:
+            i -= 1
+        elif best[i][j] == best[i][j - 1]:
+            j -= 1
         else:
-            j += 1
-    return int(best[0, 0]), first, last
+            i, j = i - 1, j - 1
+            at.append(j)
+    at.reverse()
+    n = len(at)
+    _, _, x, y = max((((y - x + 1) / max(len(a), at[y] - at[x] + 1)), y - x, x, y) for x in range(n) for y in range(x, n))
+    return y - x + 1, at[x], at[y]
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, cover: float = COVER) -> DataFrame:
@@ -131,14 +150,15 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, cov
                 for s in spans:
                     license_, t = words_of[s["template"]]
                     # all that the template could reach on these diagonals
-                    low, high = max(0, min(s["first"], s["start"]) - SLACK), min(len(h), max(s["last"] + 1, s["start"] + len(t)) + SLACK)
+                    far = max(SLACK, math.ceil(len(t) * (1 / COVER - 1)))
+                    low, high = max(0, min(s["first"], s["start"]) - far), min(len(h), max(s["last"] + 1, s["start"] + len(t)) + far)
                     same, i, j = common_length(t, h[low:high])
                     if same and same >= cover * len(t) and same >= cover * (j - i + 1):
                         out.append((id_, s["template"], license_, low + i, low + j, s["n_votes"], round(same / max(len(t), j - i + 1), 6)))
             cols = list(zip(*out, strict=True)) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64()), strict=True)], names=["doc_id", "template", "license", "first_word", "last_word", "n_votes", "similarity"])
 
-    return met.mapInArrow(batches, "doc_id long, template string, license string, first_word int, last_word int, n_votes long, similarity double").distinct()
+    return met.mapInArrow(batches, "doc_id long, template string, license string, first_word int, last_word int, n_votes long, similarity double").groupBy("doc_id", "template", "license", "first_word", "last_word", "similarity").agg(F.max("n_votes").alias("n_votes")).select("doc_id", "template", "license", "first_word", "last_word", "n_votes", "similarity")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from skein.llm import neardup, secrets
+from skein.llm import licenses, neardup, secrets
 
 
 def runs(text):
@@ -58,3 +58,13 @@ def test_secrets_reach_their_delimiter():
         spans = secrets.reported(secrets.parts(before + secret + after))
         assert any(a <= len(before) and b >= len(before) + len(secret) for a, b in spans), before + secret[:20]
     assert not secrets.parts("-----BEGIN PRIVATE KEY-----\n" * 20_000)
+
+
+def test_license_copies_with_passages_and_like_words_before(spark):
+    words = [f"t{i}" for i in range(120)]
+    header = lambda k: [f"{k}{i}" for i in range(6)]
+    notice = " ".join([*words[:40], *header("a"), *words[40:80], *header("b"), *words[80:]])
+    templates = {"long": ("L", " ".join(words)), **{k: licenses.TEMPLATES[k] for k in ("mit-line", "cc-by-nc-4.0-line")}}
+    rows = [(1, f"x y {notice} z"), (2, "all licensed content. Licensed under CC BY-NC 4.0. More"), (3, "It was released today. Released under the MIT License. More"), (4, f"{notice} {notice}")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()
+    assert sorted((r.doc_id, r.template, r.first_word, r.last_word, round(r.similarity, 2)) for r in got) == [(1, "long", 2, 133, 0.91), (2, "cc-by-nc-4.0-line", 3, 9, 1.0), (3, "mit-line", 4, 8, 1.0), (4, "long", 0, 131, 0.91), (4, "long", 132, 263, 0.91)]
