@@ -7,7 +7,7 @@
 Discounts d(r) for r <= K are Good-Turing's as Katz has them, from the counts of counts of the whole corpus; where these
 are too few to give a value in (0, 1], d(r) = (r - 0.5) / r. alpha(v) = (1 - sum of kept p(w | v)) / (1 - sum of p(w) over the kept w),
 so every p(. | v) sums to 1 exactly; where discounting leaves v nothing, c(v) + 1 stands for c(v).
-Counts come from all documents, and rarer bigrams than MIN_COUNT give their mass to the backoff. A
+Counts come from all documents; every bigram seen is kept, and only a greater min_count would give rare ones' mass to the backoff. A
 document's first word has no context: its probability is p(w).
 
 How: documents become splits of about SPLIT words (numbers into the split's own sorted vocabulary, in a file of the
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 K = 5
-MIN_COUNT = 2
+MIN_COUNT = 1
 SPLIT = 2_000_000
 HEAVY = 200_000
 SENT = "kind string, split long, bucket int, blob binary, hist array<long>"

@@ -1,11 +1,12 @@
 """Cases that a cut in an operator would lose."""
 
 import collections
+import math
 import random
 
 import numpy as np
 
-from skein.llm import licenses, neardup, secrets
+from skein.llm import katz, licenses, neardup, secrets
 
 
 def runs(text):
@@ -68,3 +69,12 @@ def test_license_copies_with_passages_and_like_words_before(spark):
     rows = [(1, f"x y {notice} z"), (2, "all licensed content. Licensed under CC BY-NC 4.0. More"), (3, "It was released today. Released under the MIT License. More"), (4, f"{notice} {notice}")]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()
     assert sorted((r.doc_id, r.template, r.first_word, r.last_word, round(r.similarity, 2)) for r in got) == [(1, "long", 2, 133, 0.91), (2, "cc-by-nc-4.0-line", 3, 9, 1.0), (3, "mit-line", 4, 8, 1.0), (4, "long", 0, 131, 0.91), (4, "long", 132, 263, 0.91)]
+
+
+def test_katz_uses_bigrams_seen_once(spark):
+    got = katz.score(spark.createDataFrame([(1, "a b"), (2, "a c"), (3, "c a")], "doc_id long, text string")).collect()
+    # words: a 3, b 1, c 2 of 6; bigrams a-b, a-c, c-a once each; no count of counts gives a discount, so d(r) = (r - 0.5) / r
+    d = katz.discounts(np.array([0, 1, 1, 1, 0, 0, 0], float)), katz.discounts(np.array([0, 3, 0, 0, 0, 0, 0], float))
+    word = {"a": 3 * d[0][3] / 6, "c": 2 * d[0][2] / 6}
+    want = {1: (word["a"], d[1][1] / 2), 2: (word["a"], d[1][1] / 2), 3: (word["c"], d[1][1])}
+    assert {r.doc_id: r.log_prob for r in got} == {i: round(sum(map(math.log, x)), 6) for i, x in want.items()}
