@@ -373,7 +373,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view(np.int32)), mask=pa.array(null) if null.any() else None)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at), pa.int32()), lists, pa.array(ok, mask=null)], names=["doc_id", "n_tokens", "token_ids", "round_trip"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, SCHEMA)
+    return C.mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), batches, SCHEMA)
 
 
 def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:

@@ -7,10 +7,11 @@ so normalising, word splitting and hashing are a few numpy passes, never a loop
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import unicodedata
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -21,6 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 U = np.uint64
 #: Text bytes that one numpy pass handles; bounds a Python worker's memory, not what is read.
 SLICE_BYTES = 1 << 20
+#: Bytes of rows that Spark puts into an Arrow batch; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +83,28 @@ def table_bytes(spark: SparkSession, path: str) -> int:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
 
+def mapped(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow in batches of BATCH_BYTES (set for the session in place of Spark's default of 64 MB; a limit of the user's stays), after which a worker gives its memory back."""
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_LIMIT) == "67108864b":
+        conf.set(ARROW_LIMIT, str(BATCH_BYTES))
+
+    def all_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(it)
+        release()
+
+    return df.mapInArrow(all_batches, schema)
+
+
+def release() -> None:
+    """Freed memory back to the system: a Python worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of whole rows with about `most` bytes of text each."""
     if not batch.num_rows:
@@ -119,7 +145,7 @@ def codepoints(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def norm_table() -> np.ndarray:
     """Code point -> its lower case if it is a letter, mark or digit, else 0."""
     t = np.zeros(0x110000, np.uint32)
-    for i in range(0x32400):
+    for i in (*range(0x32400), *range(0xE0100, 0xE01F0)):
         c = chr(i)
         if unicodedata.category(c)[0] in "LNM":
             low = c.lower()

@@ -143,7 +143,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, words: int = WORDS) -> DataFr
                 ids = b.column("doc_id").take(pa.array([k[0] for k in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([k[1] for k in found], pa.int64()), pa.array([len(v) for v in found.values()], pa.int64()), pa.array([min(v) for v in found.values()], pa.int64())], names=["doc_id", "item_id", "n_matches", "first_char"])
 
-    got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, SCHEMA)
+    got = C.mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), batches, SCHEMA)
     return got.groupBy("doc_id", "item_id").agg(F.sum("n_matches").alias("n_matches"), F.min("first_char").alias("first_char"))
 
 
@@ -159,7 +159,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, words: int = WORDS) -> DataFram
                 keep[[row for row, _, _ in places(b, w)]] = False
                 yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(batches, docs.schema)
+    return C.mapped(docs, batches, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

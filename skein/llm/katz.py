@@ -159,7 +159,7 @@ def ask_words(docs: DataFrame, path: str, buckets: int, size: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, SENT)
+    return C.mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), batches, SENT)
 
 
 def count_words(t: pa.Table) -> pa.Table:

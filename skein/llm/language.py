@@ -87,7 +87,7 @@ def identify(docs: DataFrame, content: dict[str, bytes], margin: float = MARGIN)
                         said[i] = c.names[order[0]]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(said, pa.string()), pa.array(by.round(6)), pa.array(second, pa.string())], names=["doc_id", "language", "margin", "runner_up"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, SCHEMA)
+    return C.mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), batches, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

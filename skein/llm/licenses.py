@@ -69,7 +69,7 @@ def grams(docs: DataFrame, n: int = GRAM) -> DataFrame:
                 digest = [xxhash.xxh3_128_digest(s.as_buffer()) if s.is_valid else None for s in text]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest, pa.binary()), lists], names=["doc_id", "digest", "grams"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, "doc_id long, digest binary, grams array<long>")
+    return C.mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), batches, "doc_id long, digest binary, grams array<long>")
 
 
 def template_grams(spark: SparkSession, templates: dict[str, tuple[str, str]], n: int = GRAM) -> DataFrame:
@@ -158,7 +158,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, cov
             cols = list(zip(*out, strict=True)) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64()), strict=True)], names=["doc_id", "template", "license", "first_word", "last_word", "n_votes", "similarity"])
 
-    return met.mapInArrow(batches, "doc_id long, template string, license string, first_word int, last_word int, n_votes long, similarity double").groupBy("doc_id", "template", "license", "first_word", "last_word", "similarity").agg(F.max("n_votes").alias("n_votes")).select("doc_id", "template", "license", "first_word", "last_word", "n_votes", "similarity")
+    return C.mapped(met, batches, "doc_id long, template string, license string, first_word int, last_word int, n_votes long, similarity double").groupBy("doc_id", "template", "license", "first_word", "last_word", "similarity").agg(F.max("n_votes").alias("n_votes")).select("doc_id", "template", "license", "first_word", "last_word", "n_votes", "similarity")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

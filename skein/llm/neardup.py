@@ -10,18 +10,20 @@ their weights, the weighted Jaccard similarity.
 
 BANDS bands of ROWS coordinates are joined. At similarity 0.5 a pair meets in a band with probability 0.955, at 0.6 0.999.
 A pair that met counts as near if the similarity of its documents' own runs, with their counts, is at least THRESHOLD;
-signatures only choose what is looked at. In a bucket the least document is hub and the others are held against it, so copies by the thousand
-cost one comparison each. Where some aren't near it (documents with a passage in common, say) all of the bucket are held
-against each other, but for pairs that near ones connect already; of these a pair is looked at if its signatures agree in
-all but ERRORS standard errors of THRESHOLD. No bucket is capped. Groups are the connected components.
+signatures only choose what is looked at. In a bucket the document with the least number is hub and the others are held against it, so copies by the thousand
+cost one comparison each. Where some aren't near it (documents with a passage in common, say) those are held against all others of the
+bucket, near the hub or not, but for pairs that near ones connect already; a pair is looked at if its signatures agree in
+all but ERRORS standard errors of THRESHOLD. No bucket is capped, and how buckets are cut into parts doesn't change what is connected.
+Groups are the connected components.
 
-Result of groups(): doc_id, group_id (least doc_id of the group), kept, similarity to the hub it met (1 for copies and for the
-kept one); only groups of two or more documents.
+Result of groups(): doc_id, group_id (least doc_id of the group), kept, similarity of the document's runs and those of the group's kept
+document (1 for copies of it and for itself; a member that others connect may be under THRESHOLD); only groups of two or more documents.
 
 Edge cases: documents with the same words in the same order are exact copies and are joined by a digest of these. Null
 texts are near nothing and are kept. Texts without words are copies of each other only if the texts are equal. A text of
 fewer than SHINGLE words is one element. Repeated rows count as copies of each other; deduplicated() keeps one row of each group, the one
-with the least doc_id (nulls last), then the least text, then any of the equal rows. Columns other than doc_id and text are only carried along.
+with the least doc_id (nulls last), then the least digest of the text, then any of the equal rows. Columns other than doc_id and text are only carried along,
+whatever their names. Runs are compared as 32-bit keys: of two documents of n runs about n / 2^32 of the similarity may be chance.
 """
 
 from __future__ import annotations
@@ -31,9 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common as C
 
@@ -53,7 +54,7 @@ LOT = 100_000
 #: Bits of an element's hash that tell it from others.
 ELEMENT = 44
 BIG = np.uint64(0xFFFFFFFFFFFFFFFF)
-SCHEMA = "doc_id long, digest binary, tie binary, sig binary, bands array<long>"
+SCHEMA = "doc_id long, digest binary, tie binary, sig binary"
 
 
 def uniform(h: np.ndarray) -> np.ndarray:
@@ -153,7 +154,7 @@ def weighted(cp: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the words, digest of the text (tie), signature (16 bits a coordinate) and band keys of every row with text."""
+    """doc_id, digest of the words, digest of the text (tie) and signature (16 bits a coordinate, empty without words) of every row with text."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -166,31 +167,14 @@ def sketch(docs: DataFrame) -> DataFrame:
                 if not n:
                     continue
                 doc, element, weight, h, at = weighted(*C.codepoints(text))
-                sig = signatures(doc, element, weight, n)
-                some = np.diff(at) > 0
+                sig = (signatures(doc, element, weight, n) >> C.U(48)).astype("<u2")
                 tie = b.column("tie").to_pylist()
                 digest = [xxhash.xxh3_128_digest(h[i:j].tobytes()) if i < j else b"=" + t for i, j, t in zip(at[:-1].tolist(), at[1:].tolist(), tie, strict=True)]
-                key = np.zeros((n, BANDS), C.U)
-                for r in range(ROWS):
-                    key = C.mix(key * C.BASE + sig[:, r::ROWS] + C.U(1))
-                key = C.mix(key + np.arange(BANDS, dtype=C.U)).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]), pa.int32()), pa.array(key[some].reshape(-1)))
-                raw = (sig >> C.U(48)).astype("<u2")
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest, pa.binary()), b.column("tie"), pa.array([x.tobytes() for x in raw], pa.binary()), lists], names=["doc_id", "digest", "tie", "sig", "bands"])
+                raw = [x.tobytes() if some else b"" for x, some in zip(sig, (np.diff(at) > 0).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest, pa.binary()), b.column("tie"), pa.array(raw, pa.binary())], names=["doc_id", "digest", "tie", "sig"])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.unhex(F.md5(text)).alias("tie")).mapInArrow(batches, SCHEMA)
-
-
-@F.pandas_udf(T.DoubleType())
-def agreement(a, b):
-    """Share of equal coordinates."""
-    import pandas as pd
-
-    if not len(a):
-        return pd.Series([], dtype="float64")
-    x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (a, b))
-    return pd.Series((x == y).mean(1))
+    return C.mapped(docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.unhex(F.md5(text)).alias("tie")), batches, SCHEMA)
 
 
 def name() -> Column:
@@ -199,7 +183,7 @@ def name() -> Column:
 
 
 def runs_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and runs of the documents that ids names: a sorted 64-bit key for each run of words and time it occurs, so sets of keys compare as weighted sets of runs."""
+    """n and runs of the documents that ids (id, n) names: a sorted 32-bit key for each run of words and time it occurs, so sets of keys compare as weighted sets of runs."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
@@ -207,14 +191,15 @@ def runs_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 doc, element, weight, _, _ = weighted(*C.codepoints(b.column("text")))
                 times = weight.astype(np.int64)
                 nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-                of, key = np.repeat(doc, times), C.mix(np.repeat(element, times) * C.BASE + nth.astype(C.U))
-                key = key[np.lexsort((key, of))]
+                of, key = np.repeat(doc, times), C.mix(np.repeat(element, times) * C.BASE + nth.astype(C.U)) >> C.U(32)
+                key = np.sort(of.astype(C.U) << C.U(32) | key).astype(np.uint32)
                 at = np.searchsorted(of, np.arange(b.num_rows + 1)).tolist()
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([key[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["id", "runs"])
+                yield pa.RecordBatch.from_arrays([b.column("n"), pa.array([key[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["n", "runs"])
 
     text = F.col("text").cast("string")
     named = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.unhex(F.md5(text)).alias("tie")).where("text is not null").select(name().alias("id"), "text")
-    return named.join(ids, "id", "left_semi").mapInArrow(batches, "id string, runs binary").dropDuplicates(["id"])
+    one = named.join(ids, "id").groupBy("id").agg(F.first("n").alias("n"), F.first("text").alias("text"))
+    return C.mapped(one.select("n", "text"), batches, "n long, runs binary")
 
 
 def similarities(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -228,22 +213,26 @@ def similarities(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return both / (len(one) + lens - both)
 
 
+def pairs_table(out: list[tuple[int, int, float]]) -> dict[str, pa.Array]:
+    a, b, x = zip(*out, strict=True) if out else ((), (), ())
+    return {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(x, pa.float64())}
+
+
 def hubs_near(threshold: float):
     """Near pairs of rows (a, b, runs) that follow a row of their hub a, whose b is null."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub = np.empty(0, C.U)
+        hub = np.empty(0, np.uint32)
         for t in it:
             a, b = t.column("a").to_pylist(), t.column("b").to_pylist()
-            keys = [np.frombuffer(x.as_buffer(), C.U) for x in t.column("runs")]
+            keys = [np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("runs")]
             out = []
             cut = [0, *(i for i in range(1, len(a)) if b[i] is None), len(a)]
             for i, j in zip(cut[:-1], cut[1:], strict=True):
                 if i < j and b[i] is None:
-                    hub, i = keys[i], i + 1
+                    hub, i = np.array(keys[i]), i + 1
                 out += [(a[k], b[k], x) for k, x in zip(range(i, j), similarities(hub, keys[i:j]).tolist(), strict=True) if x >= threshold]
-            cols = list(zip(*out, strict=True)) if out else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["a", "b", "similarity"])
+            yield pa.RecordBatch.from_pydict(pairs_table(out))
 
     return batches
 
@@ -251,15 +240,15 @@ def hubs_near(threshold: float):
 def members_near(threshold: float):
     """Near pairs among the members of a bucket's part, or between two parts: each held against all others that it isn't connected to yet.
 
-    Members with `near` are connected by the bucket's hub. Without runs the signatures decide."""
+    Members with `near` are connected by the bucket's hub."""
 
     def one(t: pa.Table) -> pa.Table:
-        t = t.sort_by("id")
-        part, ids = t.column("part").to_numpy(), t.column("id").to_pylist()
+        t = t.sort_by("n")
+        part, ids = t.column("part").to_numpy(), t.column("n").to_pylist()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
-        keys = [np.frombuffer(x, C.U) for x in t.column("runs").to_pylist()] if "runs" in t.column_names else None
+        keys = [np.frombuffer(x, np.uint32) for x in t.column("runs").to_pylist()]
         k = sig.shape[1]
-        least = np.ceil((threshold if keys is None else threshold - ERRORS * math.sqrt(threshold * (1 - threshold) / k)) * k - 1e-9)
+        least = np.ceil((threshold - ERRORS * math.sqrt(threshold * (1 - threshold) / k)) * k - 1e-9)
         low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
         group = np.where(t.column("near").to_numpy(), -1, np.arange(len(ids)))
         others = np.flatnonzero(part == high)
@@ -268,111 +257,108 @@ def members_near(threshold: float):
             among = others[group[others] != group[i]]
             if low == high:
                 among = among[among > i]
-            same = (sig[among] == sig[i]).sum(1)
-            among, like = among[same >= least], same[same >= least] / k
-            if keys is not None:
-                like = similarities(keys[i], [keys[j] for j in among.tolist()])
-                among, like = among[like >= threshold], like[like >= threshold]
+            among = among[(sig[among] == sig[i]).sum(1) >= least]
+            like = similarities(keys[i], [keys[j] for j in among.tolist()])
+            among, like = among[like >= threshold], like[like >= threshold]
             out += [(*sorted((ids[i], ids[j])), x) for j, x in zip(among.tolist(), like.tolist(), strict=True)]
             if len(among):
                 group[np.isin(group, group[among])] = group[i]
-        cols = list(zip(*out, strict=True)) if out else [()] * 3
-        return pa.table({"a": pa.array(cols[0], pa.string()), "b": pa.array(cols[1], pa.string()), "similarity": pa.array(cols[2], pa.float64())})
+        return pa.table(pairs_table(out))
 
     return one
 
 
-def near_pairs(one: DataFrame, threshold: float = THRESHOLD, part: int = PART, docs: DataFrame | None = None) -> DataFrame:
-    """(a, b, similarity) with a < b, enough to connect what is near; one: id, sig, bands. Runs are compared as docs have them; without docs the signatures decide."""
-    bucket = one.select(F.explode("bands").alias("band"), "id").groupBy("band").agg(F.sort_array(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)
-    lists = C.written(bucket.groupBy("ids").agg(F.first("band").alias("band")).select("band", "ids"), "buckets")  # many bands hold the same documents
-    sigs = one.select("id", "sig")
-    star = lists.select("band", F.element_at("ids", 1).alias("a"), F.explode(F.slice("ids", F.lit(2), F.size("ids") - 1)).alias("b"))
-    held = star.select("a", "b").distinct()
-    if docs is None:
-        met = held.join(sigs.withColumnsRenamed({"id": "a", "sig": "x"}), "a").join(sigs.withColumnsRenamed({"id": "b", "sig": "y"}), "b")
-        near = met.select("a", "b", agreement("x", "y").alias("similarity")).where(F.col("similarity") >= threshold)
-        weight = one.select("id", F.lit(0).alias("bytes"))
-    else:
-        runs = C.written(runs_of(docs, lists.select(F.explode("ids").alias("id")).distinct()), "runs")
-        hubs = held.groupBy("a").agg(F.ceil(F.count("*") / F.lit(LOT)).alias("lots"))
-        member = held.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("lots")).alias("lot"), "b").join(runs.withColumnRenamed("id", "b"), "b")
-        hub = hubs.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.lit(None).cast("string").alias("b")).join(runs.withColumnRenamed("id", "a"), "a")
-        rows = hub.unionByName(member).repartition("a", "lot").sortWithinPartitions("a", "lot", F.col("b").asc_nulls_first())
-        near = rows.select("a", "b", "runs").mapInArrow(hubs_near(threshold), "a string, b string, similarity double")
-        sigs, weight = sigs.join(runs, "id"), runs.select("id", F.octet_length("runs").alias("bytes"))
-    good = C.written(near, "near")
+def held(pairs: DataFrame, runs: DataFrame, threshold: float) -> DataFrame:
+    """a, b, similarity of those of the distinct pairs (a, b) whose runs are similar by the threshold. Those of one a are cut into lots."""
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(LOT)).alias("lots"))
+    member = pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("lots")).alias("lot"), "b").join(runs.withColumnRenamed("n", "b"), "b")
+    hub = hubs.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.lit(None).cast("long").alias("b")).join(runs.withColumnRenamed("n", "a"), "a")
+    rows = hub.unionByName(member).repartition("a", "lot").sortWithinPartitions("a", "lot", F.col("b").asc_nulls_first())
+    return C.mapped(rows.select("a", "b", "runs"), hubs_near(threshold), "a long, b long, similarity double")
+
+
+def near_pairs(ones: DataFrame, runs, threshold: float = THRESHOLD, part: int = PART) -> DataFrame:
+    """(a, b, similarity) with a < b, enough to connect what is near; ones: n, sig. runs: gives the runs of a table of numbers n."""
+    key = lambda j: F.xxhash64(F.substring(F.col("sig"), j * (2 * ROWS) + 1, F.lit(2 * ROWS)), j)
+    bands = ones.where("octet_length(sig) > 0").select("n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)).alias("band"))
+    hubs = bands.groupBy("band").agg(F.min("n").alias("hub"), F.count("*").alias("members")).where("members > 1").select("band", "hub")
+    star = C.written(bands.join(hubs, "band").where("n <> hub").select("band", F.col("hub").alias("a"), F.col("n").alias("b")), "buckets")
+    distinct = C.written(star.select("a", "b").distinct(), "stars")
+    compared = runs(distinct.select(F.col("a").alias("n")).union(distinct.select(F.col("b").alias("n"))).distinct())
+    good = C.written(held(distinct, compared, threshold), "near")
     # where some aren't near their bucket's hub, its members are held against each other, in parts of bounded size if it is much
-    known = star.join(good.select("a", "b", F.lit(True).alias("near")), ["a", "b"], "left").select("band", F.col("b").alias("id"), F.coalesce("near", F.lit(False)).alias("near"))
-    mixed = known.groupBy("band").agg(F.count("*").alias("n"), F.min("near").alias("all")).where("n > 1 and not all").select("band")
-    rest = known.join(mixed, "band", "left_semi")
+    far = distinct.join(good, ["a", "b"], "left_anti")
+    known = star.join(far.select("a", "b", F.lit(False).alias("near")), ["a", "b"], "left").select("band", "a", F.col("b").alias("n"), F.coalesce("near", F.lit(True)).alias("near"))
+    all_of = known.groupBy("band", "a").agg(F.count("*").alias("members"), F.min("near").alias("all"), F.bit_xor(F.xxhash64("n")).alias("x"), F.bit_xor(F.xxhash64("n", F.lit(1))).alias("y"))
+    mixed = all_of.where("members > 1 and not all").groupBy("a", "members", "x", "y").agg(F.min("band").alias("band"))  # many bands hold the same documents
+    rest = C.written(known.join(mixed.select("band"), "band", "left_semi").select("band", "n", "near"), "mixed")
     parts = F.greatest(F.ceil(F.count("*") / F.lit(part)), F.ceil(F.sum("bytes") / F.lit(PART_BYTES))).cast("int")
-    size = rest.join(weight, "id").groupBy("band").agg(parts.alias("parts"))
-    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    size = rest.join(compared.select("n", F.octet_length("runs").alias("bytes")), "n").groupBy("band").agg(parts.alias("parts"))
+    own = F.pmod(F.xxhash64("n"), F.col("parts")).cast("int")
     spread = rest.join(size, "band").withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = spread.select("band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "near")
-    more = placed.join(sigs, "id").groupBy("band", "low", "high").applyInArrow(members_near(threshold), "a string, b string, similarity double")
+    placed = spread.select("band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "n", "near")
+    more = placed.join(ones.select("n", "sig"), "n").join(compared, "n").groupBy("band", "low", "high").applyInArrow(members_near(threshold), "a long, b long, similarity double")
     return good.unionByName(more)
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(id, root): the least id of each connected component, by joining labels with neighbours' and with labels' labels until none falls."""
+    """(n, root): the least number of each connected component, by joining labels with neighbours' and with labels' labels until none falls."""
     spark = pairs.sparkSession
     edge = C.written(pairs.select("a", "b").union(pairs.select("b", "a")).distinct(), "edges")
-    label = C.written(edge.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")), "labels")
+    label = C.written(edge.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("root")), "labels")
     while True:
-        near = edge.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("m")).withColumnRenamed("a", "id")
-        low = label.join(near, "id", "left").select("id", "root", F.least("root", F.coalesce("m", "root")).alias("to"))
-        jump = label.select(F.col("id").alias("to"), F.col("root").alias("beyond"))
-        new = C.written(low.join(jump, "to", "left").select("id", F.col("root").alias("old"), F.least("to", F.coalesce("beyond", "to")).alias("root")), "labels")
+        near = edge.join(label.withColumnRenamed("n", "b"), "b").groupBy("a").agg(F.min("root").alias("m")).withColumnRenamed("a", "n")
+        low = label.join(near, "n", "left").select("n", "root", F.least("root", F.coalesce("m", "root")).alias("to"))
+        jump = label.select(F.col("n").alias("to"), F.col("root").alias("beyond"))
+        new = C.written(low.join(jump, "to", "left").select("n", F.col("root").alias("old"), F.least("to", F.coalesce("beyond", "to")).alias("root")), "labels")
         C.drop(spark, label.skein_path)
         label = new
         if new.where("root <> old").isEmpty():
-            return new.select("id", "root")
+            return new.select("n", "root")
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, tie, id (of the exact copies), root, similarity of every document that has a copy or a near one; root is null for a lone document of copies."""
-    s = C.written(sketch(docs).withColumn("id", name()), "sketches")
-    copies = s.groupBy("digest").agg(F.min("id").alias("one"), F.count("*").alias("n"))
-    ones = s.join(copies.select(F.col("one").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    near = C.written(near_pairs(ones, docs=docs), "pairs")
-    roots = components(near)
-    similar = near.groupBy(F.col("b").alias("one")).agg(F.max("similarity").alias("similarity"))
-    named = copies.join(roots.select(F.col("id").alias("one"), "root"), "one", "left").where("n > 1 or root is not null").join(similar, "one", "left")
-    return s.select("doc_id", "id", "digest").join(named, "digest").select("doc_id", "id", "one", F.coalesce("root", "one").alias("root"), F.when(F.col("root").isNull() | (F.col("one") == F.col("root")), 1.0).otherwise(F.coalesce("similarity", F.lit(1.0))).alias("similarity"))
+def grouped(docs: DataFrame, part: int = PART) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row with text (doc_id, id, digest, row); the documents (digest, n) of groups of two or more rows with their group's hub, the number of the document it keeps,
+    and the kept row's first (id, row), and group_id; and the runs of documents that met."""
+    made: list[DataFrame] = []
+    s = C.written(sketch(docs).select("doc_id", name().alias("id"), "digest", "sig", F.monotonically_increasing_id().alias("row")), "sketches")
+    # one document for the rows of equal words, numbered; the table fixes the numbers
+    ones = C.written(s.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).withColumn("n", F.monotonically_increasing_id()), "ones")
 
+    def runs(numbers: DataFrame) -> DataFrame:
+        made.append(C.written(runs_of(docs, ones.select(F.col("first.id").alias("id"), "n").join(numbers, "n", "left_semi")), "runs"))
+        return made[0]
 
-def groups(docs: DataFrame) -> DataFrame:
-    g = C.written(grouped(docs), "groups")
-    first = g.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.min("id").alias("least"))
-    w = Window.partitionBy("id").orderBy(F.lit(1))
-    g = g.join(first, "root")
-    hub = g.where("id = least").withColumn("nth", F.row_number().over(w)).withColumn("kept", F.col("nth") == 1)
-    rest = g.where("id <> least").withColumn("kept", F.lit(False))
-    cols = ["doc_id", "group_id", "kept", F.round("similarity", 4).alias("similarity")]
-    return hub.select(*cols).unionByName(rest.select(*cols))
+    roots = components(near_pairs(ones.select("n", "sig"), runs, part=part))
+    member = ones.join(roots, "n", "left").where("copies > 1 or root is not null").select("digest", "n", "first", "doc_id", F.coalesce("root", "n").alias("root"))
+    hubs = member.groupBy("root").agg(F.min(F.struct("first", "n")).alias("hub"), F.min("doc_id").alias("group_id"))
+    return s, C.written(member.select("digest", "n", "root").join(hubs, "root").select("digest", "n", F.col("hub.n").alias("hub"), "hub.first", "group_id"), "members"), made[0]
+
+
+def groups(docs: DataFrame, part: int = PART) -> DataFrame:
+    s, member, runs = grouped(docs, part)
+    like = held(member.where("n <> hub").select(F.col("hub").alias("a"), F.col("n").alias("b")), runs, 0.0).select(F.col("b").alias("n"), "similarity")
+    each = member.join(like, "n", "left").withColumn("similarity", F.round(F.coalesce("similarity", F.lit(1.0)), 4))
+    kept = (F.col("id") == F.col("first.id")) & (F.col("row") == F.col("first.row"))
+    return s.select("doc_id", "id", "row", "digest").join(each, "digest").select("doc_id", "group_id", kept.alias("kept"), "similarity")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs, of each group one."""
-    g = C.written(grouped(docs), "groups")
-    first = g.groupBy("root").agg(F.min("id").alias("least"))
-    gone = C.written(g.join(first, "root").groupBy("doc_id", "id").agg(F.max(F.col("id") == F.col("least")).alias("first"), F.count("*").alias("n")).where("not first or n > 1"), "gone")
-    # most documents have no part in this: their rows meet only a short list of ids
-    names = docs.columns
-    listed = gone.select(F.col("doc_id").alias("__id"), F.substring("id", -32, 32).alias("__tie"), F.col("first").alias("__first"))
-    text = F.col("text").cast("string")
-    same = F.coalesce(F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), F.lit(False))
-    suspect = listed.select("__id").distinct()
-    maybe = docs.join(suspect, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    clear = docs.join(suspect, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
-
-    met = maybe.withColumn("__text_tie", F.upper(F.md5(text))).join(listed, same & (F.col("__text_tie") == F.col("__tie")), "left")
-    unlisted = met.where("__tie is null").select(*names)
-    nth = F.row_number().over(Window.partitionBy("__id", "__tie").orderBy(F.lit(1)))
-    one = met.where("__first").withColumn("__nth", nth).where("__nth = 1").select(*names)
-    return clear.unionByName(unlisted).unionByName(one)
+    s, member, _ = grouped(docs)
+    first = F.col("id") == F.col("first.id")
+    listed = C.written(s.select("doc_id", "id", "digest").join(member.select("digest", "first"), "digest").groupBy("doc_id", "id").agg(F.max(first).alias("kept"), F.count("*").alias("times")).where("not kept or times > 1").select(F.col("doc_id").alias("of_doc"), F.substring("id", -32, 32).alias("of_tie"), "kept"), "listed")
+    names, inner = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*inner)  # no column of docs can clash with those joined to it
+    id_, text = (F.col(inner[[x.lower() for x in names].index(c)]) for c in ("doc_id", "text"))
+    keyed = rows.select("*", id_.cast("long").alias("own_doc"), F.upper(F.md5(text.cast("string"))).alias("own_tie"))
+    same = F.col("own_doc").eqNullSafe(F.col("of_doc")) & (F.col("own_tie") == F.col("of_tie"))
+    out = keyed.join(listed, same, "left_anti").select(*inner)
+    repeated = listed.where("kept")
+    if not repeated.isEmpty():  # equal rows of which one stays
+        one = keyed.join(repeated, same).groupBy("own_doc", "own_tie").agg(F.first(F.struct(*inner)).alias("r"))
+        out = out.unionByName(one.select("r.*"))
+    return out.toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,4 +366,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with one row of each group; edge cases as above."""
     return deduplicated(docs)

@@ -204,8 +204,8 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float, float], reject: floa
                     yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(p.round(6)), pa.array(said, pa.string())], names=["doc_id", "quality_prob", "decision"])
 
     if keep_rows:
-        return docs.mapInArrow(batches, docs.schema)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, SCHEMA)
+        return C.mapped(docs, batches, docs.schema)
+    return C.mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), batches, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

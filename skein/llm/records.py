@@ -140,7 +140,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = bpe.VOCABULARY) -> DataF
             out.close()
             files.move(draft, f"{folder}/shards/{name}")
 
-    index = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, INDEX)
+    index = C.mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), batches, INDEX)
     index.write.parquet(f"{path}/index")
     return docs.sparkSession.read.schema(INDEX).parquet(f"{path}/index")
 
@@ -163,7 +163,7 @@ def read(index: DataFrame, path: str) -> DataFrame:
                 data.append(parsed(frame[12:-4]))
             yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in data], pa.int64()), pa.array([d[1].astype(np.int32) for d in data], pa.list_(pa.int32()))], names=["doc_id", "token_ids"])
 
-    return index.select("shard", "offset", "n_bytes").mapInArrow(batches, "doc_id long, token_ids array<int>")
+    return C.mapped(index.select("shard", "offset", "n_bytes"), batches, "doc_id long, token_ids array<int>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

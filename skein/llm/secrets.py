@@ -98,7 +98,7 @@ def scan_parts(docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32()), strict=True)], names=["doc_key", "doc_id", "kind", "rule", "strong", "start", "end"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, PARTS).distinct()
+    return C.mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), batches, PARTS).distinct()
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -162,7 +162,7 @@ def redact(docs: DataFrame, scope: int = SCOPE, column: str = "text") -> DataFra
                 b = pa.RecordBatch.from_arrays(cols, schema=b.schema)
             yield b
 
-    return docs.mapInArrow(batches, docs.schema)
+    return C.mapped(docs, batches, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

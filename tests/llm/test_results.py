@@ -231,16 +231,62 @@ def test_near_dedup_against_all_pairs(spark, texts):
     assert kept == (set(texts) - set(group)) | {r.doc_id for r in rows if r.kept}
 
 
-def test_bucket_parts_find_all_pairs(spark):
-    rng = np.random.default_rng(2)
-    sig = rng.integers(0, 60000, (40, neardup.K)).astype("<u2")
-    for i in range(0, 40, 4):
-        sig[i + 3] = sig[i + 1]
-    rows = [(f"{i:03}", bytearray(sig[i].tobytes()), [7]) for i in range(40)]
-    one = spark.createDataFrame(rows, "id string, sig binary, bands array<long>")
-    for part in (1000, 6):
-        got = {(r.a, r.b) for r in neardup.near_pairs(one, part=part).collect()}
-        assert got == {(f"{i + 1:03}", f"{i + 3:03}") for i in range(0, 40, 4)}
+def bucket(spark, near, n, seed=2):
+    """Documents 0..n-1 in one bucket, near as `near` has it (chains of pairs): signatures, and runs of 90 keys of which near ones share 65."""
+    rng = np.random.default_rng(seed)
+    sig = rng.integers(0, 60000, (n, neardup.K)).astype("<u2")
+    keys = rng.integers(0, 2**32, (n, 90), np.uint64).astype(np.uint32)
+    sig[:, : neardup.ROWS] = 7
+    for a, b in near:
+        part = slice(neardup.ROWS, 100) if b % 2 else slice(100, None)
+        sig[b, part] = sig[a, part]
+        keys[b, :65] = keys[a, 25:]
+    ones = spark.createDataFrame([(i, bytearray(sig[i].tobytes())) for i in range(n)], "n long, sig binary")
+    runs = spark.createDataFrame([(i, bytearray(np.sort(keys[i]).tobytes())) for i in range(n)], "n long, runs binary")
+    return ones, lambda numbers: runs.join(numbers, "n", "left_semi")
+
+
+def test_bucket_parts_connect_alike(spark):
+    chains = [(i, i + 1) for i in range(0, 40, 4)] + [(i + 1, i + 2) for i in range(0, 40, 4)]
+    ones, runs = bucket(spark, chains, 40)
+    for part in (1000, 6, 2):
+        got = {(r.a, r.b) for r in neardup.near_pairs(ones, runs, part=part).collect()}
+        assert got == set(chains)
+
+
+def test_near_dedup_does_not_follow_the_parts(spark):
+    """Similarity is that to the kept document, and neither it nor the groups change with the size of a part."""
+    docs = table(spark, "documents").where("length(text) < 4000")
+    first = sorted(map(str, neardup.groups(docs).collect()))
+    assert first == sorted(map(str, neardup.groups(docs.repartition(7), part=2).collect())) and len(first) > 20
+    sets = brute_sets({r.doc_id: r.text for r in docs.collect()})
+    rows = neardup.groups(docs).collect()
+    kept = {r.group_id: r.doc_id for r in rows if r.kept}
+    for r in rows:
+        a, b = sets[r.doc_id], sets[kept[r.group_id]]
+        assert abs(r.similarity - sum((a & b).values()) / sum((a | b).values())) < 1e-3
+
+
+def test_near_dedup_of_chains(spark):
+    """a near b, b near c, a not near c: one group, and no similarity is that of copies."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(20):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        rows += [(3 * i, " ".join(w[:200])), (3 * i + 1, " ".join(w[50:250])), (3 * i + 2, " ".join(w[100:]))]
+    got = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    size = collections.Counter(r.group_id for r in got)
+    assert sum(n == 3 for n in size.values()) > 15
+    assert all((r.similarity == 1) == r.kept for r in got)
+
+
+def test_near_dedup_carries_columns_of_any_name(spark):
+    names = ["row", "first", "n", "hub", "own_doc", "own_tie", "of_doc", "of_tie", "kept", "c0", "c1", "__id", "__tie", "__first", "__nth", "__text_tie", "DOC_KEY"]
+    rows = [(i // 2, " ".join(f"w{i // 4}x{j}" for j in range(9)), *(f"{x}{i}" for x in names)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{x} string" for x in names))
+    kept = neardup.deduplicated(docs)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} <= set(rows)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4]
 
 
 def test_katz_against_brute_force(spark):

@@ -28,17 +28,6 @@ def test_passage_in_common_is_no_copy(spark):
     assert pairs == {(a, min(x for x, _ in near)) for p in near for a in p}
 
 
-def test_near_members_meet_those_far_from_the_hub(spark):
-    rng = np.random.default_rng(5)
-    sig = rng.integers(0, 60000, (3, neardup.K)).astype("<u2")
-    sig[1, :110] = sig[0, :110]  # the hub and 1 are near, 1 and 2 are near, the hub and 2 are not
-    sig[2, 80:] = sig[1, 80:]
-    rows = [(f"{i}", bytearray(sig[i].tobytes()), [7]) for i in range(3)]
-    one = spark.createDataFrame(rows, "id string, sig binary, bands array<long>")
-    for part in (1000, 1):
-        assert {(r.a, r.b) for r in neardup.near_pairs(one, part=part).collect()} == {("0", "1"), ("1", "2")}
-
-
 def test_secrets_reach_their_delimiter():
     rng = random.Random(6)
     some = lambda n: "aB3" + "".join(rng.choice("abcdefABCDEF0123456789xyzXYZ") for _ in range(n - 3))
