@@ -3,7 +3,7 @@
 Pages become WARC response records. FILE page ids in a row make a file; in it records stand in order of page_id (equal ids in order of
 their SHA-256), one behind the other, so each has an offset range. A leaf is the SHA-256 of a page id's records: digest, offset
 and length of each. FANOUT nodes in a row hash to a node of the next level, over the files too, up to one root. The
-trees of two replicas are written level by level; the audit compares roots and then, level by level, only the children
+trees of two replicas are written level by level, to one height, as ids of one may span more than the other's; the audit compares roots and then, level by level, only the children
 of nodes that differ, down to the leaves, and reports the records of the leaves that differ.
 
 Result of audit(): page_id, nth (among records of one page id, from 1), problem (changed, missing, extra, moved), and offset, length and
@@ -25,6 +25,8 @@ FILE = 1024
 FANOUT = 16
 #: 16^17 leaves span all 64-bit page ids.
 LEVELS = 17
+#: Bytes of the written list of differing nodes up to which Spark may send it to every task; a longer one is joined by a shuffle.
+BROADCAST = 1 << 20
 
 
 def record(url: Column, html: Column) -> Column:
@@ -49,27 +51,41 @@ def parent(node: Column) -> Column:
     return F.floor(node.cast("decimal(20,0)") / F.lit(FANOUT)).cast("long")
 
 
-def tree(recs: DataFrame) -> list[DataFrame]:
-    """Levels from the leaves to the root: node (null for records without page id), up (its parent), digest, start and end of its offset ranges."""
-    spark = recs.sparkSession
+def leaves(recs: DataFrame) -> DataFrame:
+    """node (the page id, null for records without one), up (its parent), digest, start and end of its offset ranges."""
     one = F.concat_ws(":", "nth", "offset", "length", "digest")
     leaf = recs.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("nth", one.alias("s"))))["s"], ";").alias("all"), F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("end"))
-    level = C.written(leaf.select(F.col("page_id").alias("node"), parent(F.col("page_id")).alias("up"), F.sha2("all", 256).alias("digest"), "start", "end"), "merkle")
-    levels = [level]
+    return C.written(leaf.select(F.col("page_id").alias("node"), parent(F.col("page_id")).alias("up"), F.sha2("all", 256).alias("digest"), "start", "end"), "merkle")
+
+
+def above(level: DataFrame, root: bool) -> DataFrame:
+    """The next level of a tree; root: one node over all."""
+    up = F.lit(0).cast("long") if root else F.col("up")
+    kids = F.array_join(F.array_sort(F.collect_list(F.struct("node", F.concat_ws(":", F.coalesce(F.col("node").cast("string"), F.lit("-")), "start", "end", "digest").alias("s"))))["s"], ";")
+    return C.written(level.groupBy(up.alias("node")).agg(F.sha2(kids, 256).alias("digest"), F.min("start").alias("start"), F.max("end").alias("end")).select("node", parent(F.col("node")).alias("up"), "digest", "start", "end"), "merkle")
+
+
+def trees(a: DataFrame, b: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """The levels of both replicas' trees from the leaves to the roots. Both have one height: a root stands where the parents of both are one node."""
+    levels = [(leaves(a), leaves(b))]
     for i in range(LEVELS):
-        last = i == LEVELS - 1 or len(level.select("up").distinct().limit(2).collect()) < 2
-        up = F.lit(0).cast("long") if last else F.col("up")
-        kids = F.array_join(F.array_sort(F.collect_list(F.struct("node", F.concat_ws(":", F.coalesce(F.col("node").cast("string"), F.lit("-")), "start", "end", "digest").alias("s"))))["s"], ";")
-        level = C.written(level.groupBy(up.alias("node")).agg(F.sha2(kids, 256).alias("digest"), F.min("start").alias("start"), F.max("end").alias("end")).select("node", parent(F.col("node")).alias("up"), "digest", "start", "end"), "merkle")
-        levels.append(level)
-        if last:
-            return levels
+        x, y = levels[-1]
+        root = i == LEVELS - 1 or len(x.select("up").union(y.select("up")).distinct().limit(2).collect()) < 2
+        levels.append((above(x, root), above(y, root)))
+        if root:
+            break
     return levels
 
 
-def differing(a: DataFrame, b: DataFrame, among: DataFrame | None, root: bool) -> DataFrame:
+def shuffled(found: DataFrame) -> DataFrame:
+    """A written list, with a hint to join it by a shuffle where it is long: Spark would take well compressed nodes for few."""
+    return found.hint("merge") if C.table_bytes(found.sparkSession, found.skein_path) > BROADCAST else found
+
+
+def differing(a: DataFrame, b: DataFrame, among: DataFrame | None) -> DataFrame:
     """Nodes of one level whose digests differ or that one side lacks; among: the parents to look under."""
-    if among is not None and not root:
+    if among is not None:
+        among = shuffled(among)
         a, b = (x.join(among, x.up.eqNullSafe(among.node_above), "left_semi") for x in (a, b))
     x, y = a.select(F.col("node").alias("m"), F.col("digest").alias("p"), F.lit(1).alias("here")), b.select(F.col("node").alias("n"), F.col("digest").alias("q"), F.lit(1).alias("there"))
     return x.join(y, x.m.eqNullSafe(y.n), "full_outer").where("p is null or q is null or p <> q").select(F.when(F.col("here") == 1, F.col("m")).otherwise(F.col("n")).alias("node_above"))
@@ -77,15 +93,14 @@ def differing(a: DataFrame, b: DataFrame, among: DataFrame | None, root: bool) -
 
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     a, b = C.written(records(primary), "records"), C.written(records(replica), "records")
-    ta, tb = tree(a), tree(b)
-    while len(ta) < len(tb):  # one replica spans fewer ids: its root stands for the levels it lacks
-        ta.append(ta[-1])
-    while len(tb) < len(ta):
-        tb.append(tb[-1])
+    levels = trees(a, b)
     bad = None
-    for i in range(len(ta) - 1, -1, -1):
-        top = i >= len(ta) - 2  # the children of the root are all its level has
-        bad = C.written(differing(ta[i], tb[i], bad, top), "differing")
+    for i in range(len(levels) - 1, -1, -1):
+        among = bad if i < len(levels) - 2 else None  # the children of the root are all its level has
+        if bad is not None and bad.isEmpty():
+            break
+        bad = C.written(differing(*levels[i], among), "differing")
+    bad = shuffled(bad)
     x = a.join(bad, a.page_id.eqNullSafe(bad.node_above), "left_semi").select("page_id", "nth", *(F.col(c).alias(f"primary_{c}") for c in ("offset", "length", "digest")))
     y = b.join(bad, b.page_id.eqNullSafe(bad.node_above), "left_semi").select(F.col("page_id").alias("id2"), F.col("nth").alias("nth2"), *(F.col(c).alias(f"replica_{c}") for c in ("offset", "length", "digest")))
     both = x.join(y, x.page_id.eqNullSafe(y.id2) & (x.nth == y.nth2), "full_outer")

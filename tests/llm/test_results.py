@@ -1,6 +1,7 @@
 """Each operator against brute force, an exact round trip or held-out accuracy."""
 
 import collections
+import hashlib
 import math
 import random
 import re
@@ -69,6 +70,38 @@ def test_merkle_finds_each_fault(spark):
     assert {(r.page_id, r.problem) for r in merkle.audit(pages, same).collect()} == {(17, "changed")}
 
 
+def test_merkle_equals_full_outer_join(spark):
+    """Disjoint and cut-off replicas, ids far apart and below 0, trees of different heights."""
+    rng = random.Random(9)
+
+    def files(rows):
+        by, out = collections.defaultdict(list), {}
+        for i, u, h in rows:
+            r = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: {u}\r\nContent-Type: text/html\r\nContent-Length: {len(h)}\r\n\r\n{h}\r\n\r\n".encode()
+            by[i // merkle.FILE].append((i, hashlib.sha256(r).hexdigest(), len(r)))
+        for f in by.values():
+            at, seen = 0, collections.Counter()
+            for i, digest, n in sorted(f):
+                seen[i] += 1
+                out[i, seen[i]] = (at, n, digest)
+                at += n
+        return out
+
+    page = lambda i: (i, f"u{i}", "x" * (i % 7))
+    some = lambda n, to: [page(rng.randrange(-to, to)) for _ in range(n)]
+    common = some(30, 10**5)
+    for a, b in (([page(1_000_000 + i) for i in range(4)], [page(i) for i in (1, 5000, 70000)]), ([page(i) for i in range(2000)], [page(i) for i in range(900)]), (common + some(5, 2**30), common + some(5, 100)), ([], [page(-3)])):
+        tables = [spark.createDataFrame(x, "page_id long, url string, html string") for x in (a, b)]
+        got = {(r.page_id, r.nth): (r.problem, r.primary_offset, r.primary_length, r.primary_digest, r.replica_offset, r.replica_length, r.replica_digest) for r in merkle.audit(*tables).collect()}
+        x, y = files(a), files(b)
+        none, want = (None, None, None), {}
+        for k in x.keys() | y.keys():
+            p, q = x.get(k, none), y.get(k, none)
+            if p != q:
+                want[k] = ("missing" if k not in y else "extra" if k not in x else "changed" if p[2] != q[2] else "moved", *p, *q)
+        assert got == want
+
+
 def test_language_on_held_out_rows(spark):
     docs = table(spark, "documents")
     content = language.dictionaries(docs.where("doc_id % 2 = 0"))
