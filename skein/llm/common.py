@@ -216,6 +216,12 @@ def words(cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return hash_runs(low, on, start, end), np.searchsorted(start, offsets), start, end
 
 
+def word_list(text: str) -> list[str]:
+    """The words of one text."""
+    low = norm_table()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
+    return np.where(low == 0, 32, low).astype(np.uint32).tobytes().decode("utf-32-le").split()
+
+
 def shingles(h: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of n words in a row, the document of each, and the first word's index; a document of fewer words gives none."""
     k = len(h) - n + 1
