@@ -1,31 +1,33 @@
-"""Language-model scoring by Katz backoff over word bigrams.
+"""Language-model scoring by Katz backoff over word n-grams of any order (ORDER, 3 unless asked otherwise).
 
-    p(w | v) = d(r) * r / c(v)      if (v, w) was seen r >= MIN_COUNT times
-             = alpha(v) * p(w)      otherwise
-    p(w)     = d(r) * r / N         of a word seen r times; what discounting leaves is the mass of all unseen words
+    p(w | h) = d(r) * r / c(h)         if (h, w) was seen r times
+             = alpha(h) * p(w | h')    otherwise; h' is h without its first word
+    p(w)     = d(r) * r / N            of a word seen r times; what discounting leaves is the mass of all unseen words
 
-Discounts d(r) for r <= K are Good-Turing's as Katz has them, from the counts of counts of the whole corpus; where these
-are too few to give a value in (0, 1], d(r) = (r - 0.5) / r. alpha(v) = (1 - sum of kept p(w | v)) / (1 - sum of p(w) over the kept w),
-so every p(. | v) sums to 1 exactly; where discounting leaves v nothing, c(v) + 1 stands for c(v).
-Counts come from all documents; every bigram seen is kept, and only a greater min_count would give rare ones' mass to the backoff. A
-document's first word has no context: its probability is p(w).
+Discounts d(r) for r <= K are Good-Turing's as Katz has them, for each order from the counts of counts of the whole corpus; where these
+are too few to give a value in (0, 1], d(r) = (r - 0.5) / r. alpha(h) = (1 - sum of p(w | h) seen) / (1 - sum of p(w | h') over the same w),
+so every p(. | h) sums to 1 exactly; where discounting leaves h nothing, c(h) + 1 stands for c(h); a context never seen has alpha 1.
+Counts come from all documents and every n-gram seen is kept. A document's first words have as much context as there is.
 
 How: documents become splits of about SPLIT words (numbers into the split's own sorted vocabulary, in a file of the
-shared folder). A split asks the buckets of the word table for the corpus counts of its words, then sends its bigrams
-with these counts to buckets by context; a bucket adds up, writes its part of the model (a table partitioned by order:
-words, then contexts and kept bigrams), and answers each split with what it asked for. So a bigram crosses the network once,
-in packed arrays, and no vocabulary is ever whole in one place. A context of more than HEAVY occurrences is spread over
-several buckets by its next word, and its sums are put together where they are read. The recursion runs per token: the
-bigram if kept, else its context's alpha times the word's own probability.
+shared folder). For words, then bigrams, and so on to the order, a split sends its distinct n-grams with their counts and the probability
+that the order below gives them to buckets by context; a bucket adds up, writes its part of the model (a table for each order, partitioned by kind:
+contexts with their sums, and n-grams), and answers each split with the counts, the sums of its contexts and the numbers by which the next order names these n-grams.
+So an n-gram crosses the network once, in packed arrays, and no vocabulary is ever whole in one place. There are as many buckets as
+BUCKET words each need. A context of more than HEAVY occurrences is spread over
+several buckets by its next word, and its sums are put together where they are read. The recursion runs per token, from its word's own
+probability up: the n-gram's if seen, else its context's alpha times what the order below gave.
 
 Result of score(): doc_id, n_words, log_prob (natural, sum over words), perplexity (null without words).
 
 Edge cases: null and empty texts have n_words 0, log_prob 0. Repeated rows count as often as they come and are scored each. doc_id
-may be null. An empty table gives an empty result. Columns other than doc_id and text are not read.
+may be null. An empty table gives an empty result. A word that the model never saw has the mass of all unseen words, 1 / (N + 1) if there is none.
+Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import gc
 import struct
 from collections.abc import Iterator
 
@@ -37,10 +39,13 @@ from pyspark.sql import functions as F
 from . import common as C
 
 K = 5
-MIN_COUNT = 1
+ORDER = 3
 SPLIT = 2_000_000
 HEAVY = 200_000
+#: Words of the corpus for each bucket.
+BUCKET = 2_000_000
 SENT = "kind string, split long, bucket int, blob binary, hist array<long>"
+MANIFEST = "split long, words long"
 SCHEMA = "doc_id long, n_words long, log_prob double, perplexity double"
 
 
@@ -85,11 +90,20 @@ def discounted(count: np.ndarray, d: np.ndarray) -> np.ndarray:
     return count * np.where(count < len(d), d[np.minimum(count, len(d) - 1)], 1.0)
 
 
+def deltas(x: np.ndarray) -> np.ndarray:
+    """Rising numbers as steps, which pack well."""
+    return np.diff(x, prepend=0)
+
+
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     """Rises with the hash, so sorted keys stand in order of their buckets."""
     return ((h >> C.U(32)) * C.U(buckets) >> C.U(32)).astype(np.int64)
 
 
+def joined(parts: list[np.ndarray], kind=np.int64) -> np.ndarray:
+    return np.concatenate([x.astype(kind) for x in parts]) if parts else np.empty(0, kind)
+
+
 def row(kind: str, split: int, bucket: int, blob: bytes | None, hist: list[int] | None = None) -> tuple:
     return kind, split, bucket, blob, hist
 
@@ -128,8 +142,8 @@ class Store:
             return unpack(f.read())
 
 
-def ask_words(docs: DataFrame, path: str, buckets: int, size: int) -> DataFrame:
-    """Writes the splits; rows ask for their words' counts."""
+def write_splits(docs: DataFrame, path: str, size: int, learn: bool, judge: bool) -> DataFrame:
+    """Writes the splits; a row for each. learn: they count; judge: they are scored."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -139,15 +153,14 @@ def ask_words(docs: DataFrame, path: str, buckets: int, size: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal held, n, number
-            split = ctx.partitionId() << 24 | number
+            split = (0 if learn else 1 << 60) | ctx.partitionId() << 24 | number
             vocab, tokens = np.unique(np.concatenate([h for h, _, _ in held]), return_inverse=True)
             lens = np.concatenate([x for _, x, _ in held])
             ids = pa.concat_arrays([i for _, _, i in held])
-            store.put(split, ctx.taskAttemptId(), pack(vocab, tokens, lens, np.asarray(ids.is_null()).astype(np.uint8), ids.fill_null(0).to_numpy().view(C.U)))
-            count = np.bincount(tokens, minlength=len(vocab))
-            rows = [row("ask", split, b, pack(vocab[i:j], count[i:j])) for b, i, j in ranges(bucket_of(vocab, buckets))]
+            store.put(split, ctx.taskAttemptId(), pack(vocab, tokens, lens, np.asarray(ids.is_null()).astype(np.uint8), ids.fill_null(0).to_numpy().view(C.U), np.array([learn, judge], np.uint8)))
+            words = len(tokens)
             held, n, number = [], 0, number + 1
-            return sent(rows or [row("ask", split, 0, pack(vocab, count))])
+            return pa.RecordBatch.from_arrays([pa.array([split], pa.int64()), pa.array([words], pa.int64())], names=["split", "words"])
 
         for whole in it:
             for b in C.slices(whole):
@@ -159,159 +172,224 @@ def ask_words(docs: DataFrame, path: str, buckets: int, size: int) -> DataFrame:
         if held:
             yield flush()
 
-    return C.mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), batches, SENT)
-
-
-def count_words(t: pa.Table) -> pa.Table:
-    """A bucket of words: the model's part, the counts of counts, and the answers."""
-    bucket, splits = t.column("bucket")[0].as_py(), t.column("split").to_pylist()
-    asked = [unpack(x) for x in t.column("blob").to_pylist()]
-    keys = np.concatenate([a[0] for a in asked])
-    word, inv = np.unique(keys, return_inverse=True)
-    total = np.bincount(inv, np.concatenate([a[1] for a in asked]).astype(float), len(word)).astype(np.int64)
-    hist = np.bincount(np.minimum(total, K + 2), minlength=K + 3)
-    rows = [row("words", 0, bucket, pack(word, total), [int(total.sum()), *hist[1 : K + 2].tolist()])]
-    at = np.cumsum([0] + [len(a[0]) for a in asked])
-    rows += [row("answer", s, bucket, pack(total[inv[i:j]])) for s, i, j in zip(splits, at[:-1].tolist(), at[1:].tolist(), strict=True)]
-    return pa.Table.from_batches([sent(rows)])
-
-
-class Bigrams:
-    """A split's distinct bigrams and where each goes; made twice, alike."""
-
-    def __init__(self, store: Store, split: int, answers: list[bytes], buckets: int, heavy: int):
-        self.vocab, tokens, lens, self.null, ids = store.get(split)
-        self.lens, self.ids = lens.astype(np.int64), ids.view(np.int64)
-        self.count = np.concatenate([unpack(a)[0] for a in answers]).astype(np.int64)
-        n = max(len(self.vocab), 1)
-        self.tokens = w = tokens.astype(np.int64)
-        self.follows = np.ones(len(w), bool)  # all words but each document's first
-        self.follows[(np.cumsum(self.lens) - self.lens)[self.lens > 0]] = False
-        at = np.flatnonzero(self.follows)
-        key, self.inverse, self.times = np.unique(w[at - 1] * n + w[at], return_inverse=True, return_counts=True)
-        v, self.w = key // n, key % n
-        context, self.context = np.unique(v, return_inverse=True)
+    return C.mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), batches, MANIFEST)
+
+
+class Split:
+    """A split's distinct n-grams, from words up: where each goes, and what the buckets said of it. Made anew for each order, alike."""
+
+    def __init__(self, store: Store, split: int, buckets: int, heavy: int, model: list):
+        self.split, self.buckets, self.heavy, self.model = split, buckets, heavy, model
+        self.vocab, tokens, lens, self.null, ids, flags = store.get(split)
+        self.learn, self.judge = map(bool, flags)
+        self.lens, self.ids, self.tokens = lens.astype(np.int64), ids.view(np.int64), tokens.astype(np.int64)
+        self.place = np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
+        self.order = 0
+
+    def times(self, n: np.ndarray) -> np.ndarray:
+        return n if self.learn else np.zeros_like(n)
+
+    def extend(self) -> None:
+        """To the n-grams of the next order."""
+        self.order += 1
+        if self.order == 1:
+            self.gram, self.count = self.tokens, self.times(np.bincount(self.tokens, minlength=len(self.vocab)))
+            self.bucket = bucket_of(self.vocab, self.buckets)
+            return
+        below, v = self.gram, max(len(self.vocab), 1)
+        at = np.flatnonzero(self.place >= self.order - 1)
+        key, first, inverse, count = np.unique(below[at - 1] * v + self.tokens[at], return_index=True, return_inverse=True, return_counts=True)
+        self.gram = np.full(len(below), -1)
+        self.gram[at] = inverse
+        self.lower = self.p[below[at[first]]]
+        context, self.context = np.unique(key // v, return_inverse=True)
+        number, self.word = self.number[context], self.wordnumber[key % v]
         # entries: a context once for each bucket it is spread over
-        parts = np.minimum(self.count[context] // heavy + 1, buckets)
-        first = np.cumsum(parts) - parts
+        parts = np.minimum(self.total[context] // self.heavy + 1, self.buckets)
+        start = np.cumsum(parts) - parts
         owner = np.repeat(np.arange(len(context)), parts)
-        part = np.arange(len(owner)) - first[owner]
-        bucket = (bucket_of(self.vocab[context], buckets)[owner] + part) % buckets
-        entry = first[self.context] + (C.mix(self.vocab[self.w]) % parts[self.context].astype(C.U)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        bucket = (bucket_of(C.mix(number), self.buckets)[owner] + np.arange(len(owner)) - start[owner]) % self.buckets
+        entry = start[self.context] + (C.mix(self.word.astype(C.U)) % parts[self.context].astype(C.U)).astype(np.int64)
+        order = np.lexsort((number[owner], bucket))
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        self.bucket, self.owner, self.n_contexts = bucket[order], owner[order], len(context)
-        self.hash = self.vocab[context][self.owner]
+        self.bucket, self.owner, self.contexts = bucket[order], owner[order], len(context)
+        self.named = number[self.owner].astype(np.int64)
         entry = place[entry]
-        self.order = np.argsort(entry, kind="stable")
+        self.sorted = np.lexsort((self.word, entry))
         self.per = np.bincount(entry, minlength=len(order))
+        self.count = self.times(count)
 
-
-def ask_bigrams(path: str, buckets: int, heavy: int):
-    def one(t: pa.Table) -> pa.Table:
-        split = t.column("split")[0].as_py()
-        t = t.sort_by("bucket")
-        g = Bigrams(Store(path), split, t.column("blob").to_pylist(), buckets, heavy)
-        w, times, end = g.w[g.order], g.times[g.order], np.cumsum(g.per)
+    def asks(self) -> list[tuple]:
         rows = []
-        for b, i, j in ranges(g.bucket):
-            x, y = end[i] - g.per[i], end[j - 1]
-            rows.append(row("ask", split, b, pack(g.hash[i:j], g.per[i:j], g.vocab[w[x:y]], times[x:y], g.count[w[x:y]])))
-        return pa.Table.from_batches([sent(rows)])
+        if self.order == 1:
+            rows = [row("ask", self.split, b, pack(self.vocab[i:j], self.count[i:j])) for b, i, j in ranges(self.bucket)]
+            return rows or [row("ask", self.split, 0, pack(self.vocab, self.count))]
+        w, n, p, end = self.word[self.sorted], self.count[self.sorted], self.lower[self.sorted], np.cumsum(self.per)
+        for b, i, j in ranges(self.bucket):
+            x, y = end[i] - self.per[i], end[j - 1]
+            rows.append(row("ask", self.split, b, pack(deltas(self.named[i:j]), self.per[i:j], w[x:y], n[x:y], p[x:y])))
+        none = np.empty(0, np.int64)
+        return rows or [row("ask", self.split, 0, pack(none, none, none, none, np.empty(0)))]
+
+    def hear(self, answers: list[bytes]) -> None:
+        """What the buckets answered, in order of buckets: totals and numbers of the n-grams, sums of the contexts."""
+        d, n, unseen = self.model[self.order - 1]
+        got = [unpack(x) for x in answers]
+        total, number = joined([g[0] for g in got]), joined([g[1] for g in got])
+        if self.order == 1:
+            self.total, self.number = total, number.astype(C.U)
+            self.wordnumber = number
+            self.p = np.where(total > 0, discounted(total, d) / max(n, 1), unseen)
+            self.log = np.log(self.p)[self.tokens]
+            return
+        self.total, self.number = np.empty_like(total), np.empty(len(total), C.U)
+        self.total[self.sorted], self.number[self.sorted] = total, number.astype(C.U)
+        sums = [np.bincount(self.owner, joined([g[i] for g in got], float), self.contexts) for i in range(2, 5 + K)]
+        c, alpha = backoff(sums[0], sums[1], np.array(sums[2:]), d)
+        self.p = np.where(self.total > 0, discounted(self.total, d) / c[self.context], alpha[self.context] * self.lower)
+        at = np.flatnonzero(self.gram >= 0)
+        self.log[at] = np.log(self.p)[self.gram[at]]
+
+
+def count_words(t: pa.Table, buckets: int) -> pa.Table:
+    """A bucket of words: the model's part, the counts of counts, and the answers."""
+    bucket, splits = t.column("bucket")[0].as_py(), t.column("split").to_pylist()
+    asked = [unpack(x) for x in t.column("blob").to_pylist()]
+    word, inv = np.unique(joined([a[0] for a in asked], C.U), return_inverse=True)
+    total = np.bincount(inv, joined([a[1] for a in asked], float), len(word)).astype(np.int64)
+    number = np.arange(len(word)) * buckets + bucket
+    rows = [row("model", 0, bucket, pack(word, total), histogram(total))]
+    at = np.cumsum([0] + [len(a[0]) for a in asked]).tolist()
+    rows += [row("answer", s, bucket, pack(total[inv[i:j]], number[inv[i:j]])) for s, i, j in zip(splits, at[:-1], at[1:], strict=True)]
+    return pa.Table.from_batches([sent(rows)])
 
-    return one
 
+def histogram(total: np.ndarray) -> list[int]:
+    """Occurrences, then how many were seen 1 .. K + 1 times."""
+    return [int(total.sum()), *np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist()]
 
-def count_bigrams(total_words: int, d1: np.ndarray, least: int):
-    def one(t: pa.Table) -> pa.Table:
-        bucket, splits = t.column("bucket")[0].as_py(), t.column("split").to_pylist()
-        asked = [unpack(x) for x in t.column("blob").to_pylist()]
-        context, inv = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-        of = np.repeat(inv, np.concatenate([a[1] for a in asked]).astype(np.int64))
-        word = np.concatenate([a[2] for a in asked])
-        _, first, pair = np.unique(C.mix(context[of] * C.BASE + word), return_index=True, return_inverse=True)
-        total = np.bincount(pair, np.concatenate([a[3] for a in asked]).astype(float), len(first)).astype(np.int64)
-        at, kept = of[first], total >= least
-        p1 = discounted(np.concatenate([a[4] for a in asked]).astype(np.int64)[first], d1) / total_words
-        n = len(context)
-        c = np.bincount(at, total.astype(float), n).astype(np.int64)
-        lower = np.bincount(at[kept], p1[kept], n)
-        mass = [np.bincount(at[kept & (total == r)], minlength=n) * r for r in range(1, K + 1)]
-        mass.append(np.bincount(at[total > max(K, least - 1)], total[total > max(K, least - 1)].astype(float), n).astype(np.int64))
-        hist = np.bincount(np.minimum(total, K + 2), minlength=K + 3)
-        order = np.argsort(at[kept], kind="stable")
-        rows = [row("bigrams", 0, bucket, pack(context, c, lower, *mass, at[kept][order], word[first][kept][order], total[kept][order]), [int(total.sum()), *hist[1 : K + 2].tolist()])]
-        shown = np.where(kept, total, 0)
-        e = np.cumsum([0] + [len(a[0]) for a in asked]).tolist()
-        p = np.cumsum([0] + [len(a[2]) for a in asked]).tolist()
-        for k, s in enumerate(splits):
-            i = inv[e[k] : e[k + 1]]
-            rows.append(row("answer", s, bucket, pack(shown[pair[p[k] : p[k + 1]]], c[i], lower[i], *(m[i] for m in mass))))
-        return pa.Table.from_batches([sent(rows)])
 
-    return one
+def count_grams(t: pa.Table, buckets: int) -> pa.Table:
+    """The same of n-grams, by context."""
+    bucket, splits = t.column("bucket")[0].as_py(), t.column("split").to_pylist()
+    asked = [unpack(x) for x in t.column("blob").to_pylist()]
+    context, inv = np.unique(joined([np.cumsum(a[0].astype(np.int64)) for a in asked]), return_inverse=True)
+    of, word = np.repeat(inv, joined([a[1] for a in asked])), joined([a[2] for a in asked])
+    wide = max(1, int(word.max()).bit_length()) if len(word) else 1
+    key, first, pair = np.unique(of << wide | word, return_index=True, return_inverse=True)
+    total = np.bincount(pair, joined([a[3] for a in asked], float), len(key)).astype(np.int64)
+    at, seen, lower = of[first], total > 0, joined([a[4] for a in asked], float)[first]
+    n = len(context)
+    sums = [np.bincount(at, total.astype(float), n).astype(np.int64), np.bincount(at[seen], lower[seen], n)]
+    sums += [np.bincount(at[total == r], minlength=n) * r for r in range(1, K + 1)]
+    sums.append(np.bincount(at[total > K], total[total > K].astype(float), n).astype(np.int64))
+    number = np.arange(len(key)) * buckets + bucket
+    rows = [row("model", 0, bucket, pack(deltas(context), *sums, deltas(at), word[first], total), histogram(total))]
+    e = np.cumsum([0] + [len(a[0]) for a in asked]).tolist()
+    p = np.cumsum([0] + [len(a[2]) for a in asked]).tolist()
+    for k, s in enumerate(splits):
+        i, j = inv[e[k] : e[k + 1]], pair[p[k] : p[k + 1]]
+        rows.append(row("answer", s, bucket, pack(total[j], number[j], *(x[i] for x in sums))))
+    return pa.Table.from_batches([sent(rows)])
 
 
-def backoff(c: np.ndarray, lower: np.ndarray, mass: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each context's denominator and alpha. mass: r * (kept bigrams seen r times) for r = 1..K, then the occurrences of those seen oftener."""
-    used = (mass[:-1] * d2[1:, None]).sum(0) + mass[-1]
+def backoff(c: np.ndarray, lower: np.ndarray, mass: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each context's denominator and alpha. mass: r * (n-grams seen r times) for r = 1..K, then the occurrences of those seen oftener."""
+    used = (mass[:-1] * d[1:, None]).sum(0) + mass[-1]
     c = np.where(used >= c * (1 - 1e-12), c + 1, c)
     return c, (1 - used / c) / np.maximum(1 - lower, 1e-300)
 
 
-def score_split(path: str, buckets: int, heavy: int, total_words: int, d1: np.ndarray, d2: np.ndarray):
+def rebuilt(t: pa.Table, store: Store, buckets: int, heavy: int, model: list) -> Split:
+    """A split with all that was answered so far; rows: split, bucket, level, blob."""
+    t = t.sort_by([("level", "ascending"), ("bucket", "ascending")])
+    s = Split(store, t.column("split")[0].as_py(), buckets, heavy, model)
+    level, blobs = t.column("level").to_numpy(), t.column("blob")
+    for i in range(1, len(model) + 1):
+        s.extend()
+        s.hear(blobs.take(pa.array(np.flatnonzero(level == i))).to_pylist())
+    return s
+
+
+def asking(path: str, buckets: int, heavy: int, model: list):
+    def one(t: pa.Table) -> pa.Table:
+        s = rebuilt(t, Store(path), buckets, heavy, model)
+        s.extend()
+        return pa.Table.from_batches([sent(s.asks())])
+
+    return one
+
+
+def counting(count, buckets: int):
     def one(t: pa.Table) -> pa.Table:
-        split = t.column("split")[0].as_py()
-        t = t.sort_by("bucket")
-        kind = np.array(t.column("of").to_pylist())
-        blobs = t.column("blob").to_pylist()
-        g = Bigrams(Store(path), split, [b for b, k in zip(blobs, kind, strict=True) if k == 1], buckets, heavy)
-        got = [unpack(b) for b, k in zip(blobs, kind, strict=True) if k == 2]
-        count = np.empty(len(g.w), np.int64)
-        count[g.order] = np.concatenate([x[0] for x in got])
-        sums = [np.bincount(g.owner, np.concatenate([x[i] for x in got]).astype(float), g.n_contexts) for i in range(1, 4 + K)]
-        c, alpha = backoff(sums[0], sums[1], np.array(sums[2:]), d2)
-        p1 = discounted(g.count[g.w], d1) / total_words
-        p = np.where(count > 0, discounted(count, d2) / c[g.context], alpha[g.context] * p1)
-        each = np.log(discounted(g.count, d1) / total_words)[g.tokens]
-        each[g.follows] = np.log(p)[g.inverse]
-        log = np.concatenate([[0], np.cumsum(each)])
-        end = np.cumsum(g.lens)
-        lp = log[end] - log[end - g.lens]
-        with np.errstate(over="ignore"):
-            ppl = np.exp(-lp / np.maximum(g.lens, 1))
-        return pa.table({"doc_id": pa.array(g.ids, mask=g.null.astype(bool)), "n_words": g.lens, "log_prob": lp.round(6), "perplexity": pa.array(ppl.round(6), mask=g.lens == 0)})
+        return count(t, buckets)
 
     return one
 
 
-def statistics(sent_rows: DataFrame) -> tuple[int, np.ndarray]:
-    """Occurrences, and counts of counts [0..K+1]."""
-    got = {r.i: r.n for r in sent_rows.where("hist is not null").select(F.posexplode("hist").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("n")).collect()}
-    return got.get(0, 0), np.array([0] + [got.get(i, 0) for i in range(1, K + 2)], float)
+def scores(s: Split) -> pa.Table:
+    log = np.concatenate([[0], np.cumsum(s.log)])
+    end = np.cumsum(s.lens)
+    lp = log[end] - log[end - s.lens]
+    with np.errstate(over="ignore"):
+        ppl = np.exp(-lp / np.maximum(s.lens, 1))
+    out = pa.table({"doc_id": pa.array(s.ids, mask=s.null.astype(bool)), "n_words": s.lens, "log_prob": lp.round(6), "perplexity": pa.array(ppl.round(6), mask=s.lens == 0)})
+    return out if s.judge else out.slice(0, 0)
+
+
+def statistics(counted: DataFrame) -> tuple[np.ndarray, int, float]:
+    """Discounts, occurrences, and the mass that discounting leaves."""
+    got = {r.i: r.n for r in counted.where("hist is not null").select(F.posexplode("hist").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("n")).collect()}
+    n, counts = got.get(0, 0), np.array([0] + [got.get(i, 0) for i in range(1, K + 2)], float)
+    d, r = discounts(counts), np.arange(1, K + 1)
+    left = (r * counts[1 : K + 1] * (1 - d[1:])).sum() / max(n, 1)
+    return d, n, max(left, 1 / (n + 1))
 
 
-def score(docs: DataFrame, path: str | None = None, min_count: int = MIN_COUNT, split: int = SPLIT, heavy: int = HEAVY) -> DataFrame:
-    """Trains on docs and scores every row of them. The model's tables are path/words and path/bigrams (kind=words, kind=bigrams)."""
+def score(docs: DataFrame, path: str | None = None, order: int = ORDER, train: DataFrame | None = None, split: int = SPLIT, heavy: int = HEAVY) -> DataFrame:
+    """Scores every row of docs by a model of `train`, or of docs themselves. The model's tables are path/order=n, kind=model."""
     spark = docs.sparkSession
     path = path or C.new_path(spark, "katz")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    splits = f"{path}/splits"
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.partitionBy("kind").parquet(f"{path}/{name}")
-        return spark.read.schema(SENT).parquet(f"{path}/{name}")
-
-    words = keep(ask_words(docs, splits, buckets, split).groupBy("bucket").applyInArrow(count_words, SENT), "words")
-    n, counts = statistics(words)
-    d1 = discounts(counts)
-    answers = words.where("kind = 'answer'")
-    # answers are small beside the splits they belong to: as many tasks as buckets, whatever the answers' size
-    pairs = keep(answers.repartition(buckets, "split").groupBy("split").applyInArrow(ask_bigrams(splits, buckets, heavy), SENT).groupBy("bucket").applyInArrow(count_bigrams(n, d1, min_count), SENT), "bigrams")
-    d2 = discounts(statistics(pairs)[1])
-    both = answers.select("split", "bucket", "blob", F.lit(1).alias("of")).union(pairs.where("kind = 'answer'").select("split", "bucket", "blob", F.lit(2)))
-    return both.repartition(buckets, "split").groupBy("split").applyInArrow(score_split(splits, buckets, heavy, n, d1, d2), SCHEMA)
+    at = f"{path}/splits"
+    made = write_splits(docs, at, split, train is None, True)
+    if train is not None:
+        made = made.unionByName(write_splits(train, at, split, True, False))
+    made.write.parquet(f"{path}/manifest")
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    words = manifest.agg(F.sum("words")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // BUCKET))
+    model: list[tuple[np.ndarray, int, float]] = []
+    answers: DataFrame | None = None
+
+    def each(f, schema: str) -> DataFrame:
+        """f of every split; answers are small beside the splits they belong to: as many tasks as buckets, whatever their size."""
+        return answers.repartition(buckets, "split").groupBy("split").applyInArrow(f, schema)
+
+    def first(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = Store(at)
+        for b in it:
+            for number in b.column("split").to_pylist():
+                s = Split(store, number, buckets, heavy, [])
+                s.extend()
+                yield sent(s.asks())
+
+    for n in range(1, order + 1):
+        if n == 1:
+            asked, count = manifest.select("split").repartition(buckets, "split").mapInArrow(first, SENT), count_words
+        else:
+
+            asked, count = each(asking(at, buckets, heavy, list(model)), SENT), count_grams
+        asked.groupBy("bucket").applyInArrow(counting(count, buckets), SENT).write.partitionBy("kind").parquet(f"{path}/order={n}")
+        counted = spark.read.schema(SENT).parquet(f"{path}/order={n}")
+        model.append(statistics(counted))
+        level = counted.where("kind = 'answer'").select("split", "bucket", F.lit(n).alias("level"), "blob")
+        answers = level if answers is None else answers.unionByName(level)
+        del asked
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # an order's shuffle files are of no more use
+    done = list(model)
+    return each(lambda t: scores(rebuilt(t, Store(at), buckets, heavy, done)), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -322,35 +322,52 @@ def test_near_dedup_carries_columns_of_any_name(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4]
 
 
-def test_katz_against_brute_force(spark):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120).collect()]
-    w = [split(t) for _, t in rows]
-    u, b = collections.Counter(x for d in w for x in d), collections.Counter(p for d in w for p in zip(d, d[1:], strict=False))
-    n = sum(u.values())
-    d1, d2 = (katz.discounts(np.array([0] + [sum(1 for v in c.values() if v == r) for r in range(1, katz.K + 2)], float)) for c in (u, b))
-    less = lambda r, d: r * (d[r] if r <= katz.K else 1)
-    p1 = {x: less(r, d1) / n for x, r in u.items()}
-    after = collections.defaultdict(dict)
-    for (v, x), r in b.items():
-        after[v][x] = r
-
-    def model(v):
-        c, kept = sum(after[v].values()), {x: r for x, r in after[v].items() if r >= katz.MIN_COUNT}
-        used = sum(less(r, d2) for r in kept.values())
-        c += used >= c * (1 - 1e-12)
-        return {x: less(r, d2) / c for x, r in kept.items()}, (1 - used / c) / (1 - sum(p1[x] for x in kept))
-
-    models = {v: model(v) for v in after}
-    unseen = 1 - sum(p1.values())
-    for kept, alpha in models.values():
-        assert math.isclose(sum(kept.values()) + alpha * (unseen + sum(p for x, p in p1.items() if x not in kept)), 1, abs_tol=1e-9)
-    want = {}
-    for (i, _), d in zip(rows, w, strict=True):
-        want[i] = sum(math.log(p1[x] if j == 0 else models[d[j - 1]][0].get(x) or models[d[j - 1]][1] * p1[x]) for j, x in enumerate(d))
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for size, heavy in ((katz.SPLIT, katz.HEAVY), (2000, 100)):
-        got = {r.doc_id: r.log_prob for r in katz.score(docs, split=size, heavy=heavy).collect()}
-        assert all(abs(got[i] - x) < 1e-5 for i, x in want.items())
+class BruteKatz:
+    def __init__(self, docs, order):
+        self.counts = [collections.Counter(tuple(d[i : i + n]) for d in docs for i in range(len(d) - n + 1)) for n in range(1, order + 1)]
+        self.d = [katz.discounts(np.array([0] + [sum(1 for v in c.values() if v == r) for r in range(1, katz.K + 2)], float)) for c in self.counts]
+        self.total, self.after = sum(self.counts[0].values()), collections.defaultdict(dict)
+        for c in self.counts[1:]:
+            for g, r in c.items():
+                self.after[g[:-1]][g[-1]] = r
+        self.unseen = max(1 - sum(self.less(r, 0) for r in self.counts[0].values()) / self.total, 1 / (self.total + 1))
+        self.known = {}
+
+    def less(self, r, n):
+        return r * (self.d[n][r] if r <= katz.K else 1)
+
+    def context(self, h):
+        if h not in self.known:
+            seen = self.after[h]
+            used, c = sum(self.less(r, len(h)) for r in seen.values()), sum(seen.values())
+            c += used >= c * (1 - 1e-12)
+            self.known[h] = c, (1 - used / c) / (1 - sum(self.p(h[1:], w) for w in seen))
+        return self.known[h]
+
+    def p(self, h, w):
+        if not h:
+            r = self.counts[0].get((w,))
+            return self.less(r, 0) / self.total if r else self.unseen
+        if h not in self.after:
+            return self.p(h[1:], w)
+        c, alpha = self.context(h)
+        r = self.after[h].get(w)
+        return self.less(r, len(h)) / c if r else alpha * self.p(h[1:], w)
+
+
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_katz_against_brute_force(spark, order):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(120).collect()]
+    schema = "doc_id long, text string"
+    learned, other = rows[:90], rows[90:]
+    for train, asked, size, heavy in ((rows, rows, katz.SPLIT, katz.HEAVY), (rows, rows, 2000, 100), (learned, other, 3000, 200)):
+        b = BruteKatz([split(t) for _, t in train], order)
+        want = {i: sum(math.log(b.p(tuple(w[max(0, j - order + 1) : j]), x)) for j, x in enumerate(w)) for i, w in ((i, split(t)) for i, t in asked)}
+        for h in [(), *list(b.after)[:5], *list(b.after)[-5:]]:
+            assert math.isclose(sum(b.p(h, w) for (w,) in b.counts[0]) + b.p(h, "never seen"), 1, abs_tol=1e-9)
+        docs = spark.createDataFrame(asked, schema).repartition(3)
+        got = {r.doc_id: r.log_prob for r in katz.score(docs, order=order, train=None if train is asked else spark.createDataFrame(train, schema).repartition(2), split=size, heavy=heavy).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - x) < 1e-5 for i, x in want.items())
 
 
 def test_license_spans(spark):

@@ -109,7 +109,7 @@ def test_benchmark_in_blocks(spark, monkeypatch):
 
 
 def test_katz_uses_bigrams_seen_once(spark):
-    got = katz.score(spark.createDataFrame([(1, "a b"), (2, "a c"), (3, "c a")], "doc_id long, text string")).collect()
+    got = katz.score(spark.createDataFrame([(1, "a b"), (2, "a c"), (3, "c a")], "doc_id long, text string"), order=2).collect()
     # words: a 3, b 1, c 2 of 6; bigrams a-b, a-c, c-a once each; no count of counts gives a discount, so d(r) = (r - 0.5) / r
     d = katz.discounts(np.array([0, 1, 1, 1, 0, 0, 0], float)), katz.discounts(np.array([0, 3, 0, 0, 0, 0, 0], float))
     word = {"a": 3 * d[0][3] / 6, "c": 2 * d[0][2] / 6}
