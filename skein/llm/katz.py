@@ -1,4 +1,4 @@
-"""Language-model scoring by Katz backoff over word n-grams of any order (ORDER, 3 unless asked otherwise).
+"""Language-model scoring by Katz backoff over word n-grams of any order (ORDER unless asked otherwise).
 
     p(w | h) = d(r) * r / c(h)         if (h, w) was seen r times
              = alpha(h) * p(w | h')    otherwise; h' is h without its first word
@@ -10,9 +10,9 @@ so every p(. | h) sums to 1 exactly; where discounting leaves h nothing, c(h) +
 Counts come from all documents and every n-gram seen is kept. A document's first words have as much context as there is.
 
 How: documents become splits of about SPLIT words (numbers into the split's own sorted vocabulary, in a file of the
-shared folder). For words, then bigrams, and so on to the order, a split sends its distinct n-grams with their counts and the probability
-that the order below gives them to buckets by context; a bucket adds up, writes its part of the model (a table for each order, partitioned by kind:
-contexts with their sums, and n-grams), and answers each split with the counts, the sums of its contexts and the numbers by which the next order names these n-grams.
+shared folder). For words, then bigrams, and so on to the order, a split sends its distinct n-grams with their counts and what the order
+below has of them (count and the context's sum, of which the probability follows) to buckets by context; a bucket adds up, writes its part of the model (a table for each order, partitioned by kind:
+contexts with their sums, and n-grams), and answers each split with the counts, the sums of its contexts and, but for the last order, the numbers by which the next order names these n-grams.
 So an n-gram crosses the network once, in packed arrays, and no vocabulary is ever whole in one place. There are as many buckets as
 BUCKET words each need. A context of more than HEAVY occurrences is spread over
 several buckets by its next word, and its sums are put together where they are read. The recursion runs per token, from its word's own
@@ -30,6 +30,7 @@ from __future__ import annotations
 import gc
 import struct
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 K = 5
-ORDER = 3
-SPLIT = 2_000_000
+ORDER = 2
+SPLIT = 1_000_000
 HEAVY = 200_000
 #: Words of the corpus for each bucket.
 BUCKET = 2_000_000
@@ -57,7 +58,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         if a.dtype.kind in "iu" and a.dtype != C.U:
             a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
-        raw = a.tobytes() if a.dtype == C.U else z.compress(a.tobytes(), 1)
+        raw = a.tobytes() if a.dtype == C.U else z.compress(a.tobytes(), 3)
         out.append(struct.pack("<4sQ", a.dtype.str[1:].encode().ljust(4), len(raw)) + raw)
     return b"".join(out)
 
@@ -201,8 +202,10 @@ class Split:
         key, first, inverse, count = np.unique(below[at - 1] * v + self.tokens[at], return_index=True, return_inverse=True, return_counts=True)
         self.gram = np.full(len(below), -1)
         self.gram[at] = inverse
-        self.lower = self.p[below[at[first]]]
-        context, self.context = np.unique(key // v, return_inverse=True)
+        suffix = below[at[first]]
+        self.lower, self.seen_below = self.p[suffix], self.total[suffix]
+        context, one, self.context = np.unique(key // v, return_index=True, return_inverse=True)
+        divisor = self.divisor[suffix[one]]  # the same for all n-grams of a context
         number, self.word = self.number[context], self.wordnumber[key % v]
         # entries: a context once for each bucket it is spread over
         parts = np.minimum(self.total[context] // self.heavy + 1, self.buckets)
@@ -214,7 +217,7 @@ class Split:
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         self.bucket, self.owner, self.contexts = bucket[order], owner[order], len(context)
-        self.named = number[self.owner].astype(np.int64)
+        self.named, self.divisors = number[self.owner].astype(np.int64), divisor[self.owner]
         entry = place[entry]
         self.sorted = np.lexsort((self.word, entry))
         self.per = np.bincount(entry, minlength=len(order))
@@ -225,29 +228,31 @@ class Split:
         if self.order == 1:
             rows = [row("ask", self.split, b, pack(self.vocab[i:j], self.count[i:j])) for b, i, j in ranges(self.bucket)]
             return rows or [row("ask", self.split, 0, pack(self.vocab, self.count))]
-        w, n, p, end = self.word[self.sorted], self.count[self.sorted], self.lower[self.sorted], np.cumsum(self.per)
+        w, n, r, end = self.word[self.sorted], self.count[self.sorted], self.seen_below[self.sorted], np.cumsum(self.per)
         for b, i, j in ranges(self.bucket):
             x, y = end[i] - self.per[i], end[j - 1]
-            rows.append(row("ask", self.split, b, pack(deltas(self.named[i:j]), self.per[i:j], w[x:y], n[x:y], p[x:y])))
-        none = np.empty(0, np.int64)
-        return rows or [row("ask", self.split, 0, pack(none, none, none, none, np.empty(0)))]
+            rows.append(row("ask", self.split, b, pack(deltas(self.named[i:j]), self.per[i:j], self.divisors[i:j], w[x:y], n[x:y], r[x:y])))
+        return rows or [row("ask", self.split, 0, pack(*[np.empty(0, np.int64)] * 6))]
 
     def hear(self, answers: list[bytes]) -> None:
         """What the buckets answered, in order of buckets: totals and numbers of the n-grams, sums of the contexts."""
         d, n, unseen = self.model[self.order - 1]
         got = [unpack(x) for x in answers]
-        total, number = joined([g[0] for g in got]), joined([g[1] for g in got])
+        total, number = joined([g[0] for g in got]), joined([np.cumsum(g[1].astype(np.int64)) for g in got])
         if self.order == 1:
             self.total, self.number = total, number.astype(C.U)
-            self.wordnumber = number
+            self.wordnumber, self.divisor = number, np.full(len(total), max(n, 1))
             self.p = np.where(total > 0, discounted(total, d) / max(n, 1), unseen)
             self.log = np.log(self.p)[self.tokens]
             return
-        self.total, self.number = np.empty_like(total), np.empty(len(total), C.U)
-        self.total[self.sorted], self.number[self.sorted] = total, number.astype(C.U)
+        self.total, self.number = np.empty_like(total), np.empty(len(number), C.U)
+        self.total[self.sorted] = total
+        if len(number):  # the last order has none
+            self.number[self.sorted] = number.astype(C.U)
         sums = [np.bincount(self.owner, joined([g[i] for g in got], float), self.contexts) for i in range(2, 5 + K)]
         c, alpha = backoff(sums[0], sums[1], np.array(sums[2:]), d)
-        self.p = np.where(self.total > 0, discounted(self.total, d) / c[self.context], alpha[self.context] * self.lower)
+        self.divisor = c[self.context].astype(np.int64)
+        self.p = np.where(self.total > 0, discounted(self.total, d) / self.divisor, alpha[self.context] * self.lower)
         at = np.flatnonzero(self.gram >= 0)
         self.log[at] = np.log(self.p)[self.gram[at]]
 
@@ -261,7 +266,7 @@ def count_words(t: pa.Table, buckets: int) -> pa.Table:
     number = np.arange(len(word)) * buckets + bucket
     rows = [row("model", 0, bucket, pack(word, total), histogram(total))]
     at = np.cumsum([0] + [len(a[0]) for a in asked]).tolist()
-    rows += [row("answer", s, bucket, pack(total[inv[i:j]], number[inv[i:j]])) for s, i, j in zip(splits, at[:-1], at[1:], strict=True)]
+    rows += [row("answer", s, bucket, pack(total[inv[i:j]], deltas(number[inv[i:j]]))) for s, i, j in zip(splits, at[:-1], at[1:], strict=True)]
     return pa.Table.from_batches([sent(rows)])
 
 
@@ -270,16 +275,17 @@ def histogram(total: np.ndarray) -> list[int]:
     return [int(total.sum()), *np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist()]
 
 
-def count_grams(t: pa.Table, buckets: int) -> pa.Table:
-    """The same of n-grams, by context."""
+def count_grams(t: pa.Table, buckets: int, below: np.ndarray, last: bool) -> pa.Table:
+    """The same of n-grams, by context. below: the discounts of the order below."""
     bucket, splits = t.column("bucket")[0].as_py(), t.column("split").to_pylist()
     asked = [unpack(x) for x in t.column("blob").to_pylist()]
     context, inv = np.unique(joined([np.cumsum(a[0].astype(np.int64)) for a in asked]), return_inverse=True)
-    of, word = np.repeat(inv, joined([a[1] for a in asked])), joined([a[2] for a in asked])
+    of, word = np.repeat(inv, joined([a[1] for a in asked])), joined([a[3] for a in asked])
     wide = max(1, int(word.max()).bit_length()) if len(word) else 1
     key, first, pair = np.unique(of << wide | word, return_index=True, return_inverse=True)
-    total = np.bincount(pair, joined([a[3] for a in asked], float), len(key)).astype(np.int64)
-    at, seen, lower = of[first], total > 0, joined([a[4] for a in asked], float)[first]
+    total = np.bincount(pair, joined([a[4] for a in asked], float), len(key)).astype(np.int64)
+    divisor = np.repeat(joined([a[2] for a in asked]), joined([a[1] for a in asked]))[first]
+    at, seen, lower = of[first], total > 0, discounted(joined([a[5] for a in asked])[first], below) / divisor
     n = len(context)
     sums = [np.bincount(at, total.astype(float), n).astype(np.int64), np.bincount(at[seen], lower[seen], n)]
     sums += [np.bincount(at[total == r], minlength=n) * r for r in range(1, K + 1)]
@@ -287,10 +293,13 @@ def count_grams(t: pa.Table, buckets: int) -> pa.Table:
     number = np.arange(len(key)) * buckets + bucket
     rows = [row("model", 0, bucket, pack(deltas(context), *sums, deltas(at), word[first], total), histogram(total))]
     e = np.cumsum([0] + [len(a[0]) for a in asked]).tolist()
-    p = np.cumsum([0] + [len(a[2]) for a in asked]).tolist()
+    p = np.cumsum([0] + [len(a[3]) for a in asked]).tolist()
     for k, s in enumerate(splits):
         i, j = inv[e[k] : e[k + 1]], pair[p[k] : p[k + 1]]
-        rows.append(row("answer", s, bucket, pack(total[j], number[j], *(x[i] for x in sums))))
+        own = [x[i] for x in sums]
+        if asked[k][4].any():  # what a split counts is seen: it needs no alpha
+            own[1] = np.zeros(len(i))
+        rows.append(row("answer", s, bucket, pack(total[j], number[:0] if last else deltas(number[j]), *own)))
     return pa.Table.from_batches([sent(rows)])
 
 
@@ -321,9 +330,9 @@ def asking(path: str, buckets: int, heavy: int, model: list):
     return one
 
 
-def counting(count, buckets: int):
+def counting(count):
     def one(t: pa.Table) -> pa.Table:
-        return count(t, buckets)
+        return count(t)
 
     return one
 
@@ -376,11 +385,11 @@ def score(docs: DataFrame, path: str | None = None, order: int = ORDER, train: D
 
     for n in range(1, order + 1):
         if n == 1:
-            asked, count = manifest.select("split").repartition(buckets, "split").mapInArrow(first, SENT), count_words
+            asked, count = manifest.select("split").repartition(buckets, "split").mapInArrow(first, SENT), partial(count_words, buckets=buckets)
         else:
 
-            asked, count = each(asking(at, buckets, heavy, list(model)), SENT), count_grams
-        asked.groupBy("bucket").applyInArrow(counting(count, buckets), SENT).write.partitionBy("kind").parquet(f"{path}/order={n}")
+            asked, count = each(asking(at, buckets, heavy, list(model)), SENT), partial(count_grams, buckets=buckets, below=model[-1][0], last=n == order)
+        asked.groupBy("bucket").applyInArrow(counting(count), SENT).write.partitionBy("kind").parquet(f"{path}/order={n}")
         counted = spark.read.schema(SENT).parquet(f"{path}/order={n}")
         model.append(statistics(counted))
         level = counted.where("kind = 'answer'").select("split", "bucket", F.lit(n).alias("level"), "blob")
