@@ -21,6 +21,23 @@ def columns_jdbc(spark: SparkSession, url: str, schema: str = "public", **option
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
 
 
+CONSTRAINTS = {
+    "constraints": "SELECT constraint_name, table_schema, table_name, constraint_type FROM information_schema.table_constraints WHERE constraint_type IN ('PRIMARY KEY', 'FOREIGN KEY')",
+    "usage": "SELECT constraint_name, table_schema, column_name, ordinal_position AS position FROM information_schema.key_column_usage",
+    "targets": "SELECT r.constraint_name, r.constraint_schema AS table_schema, k.ordinal_position AS position, k.table_name AS foreign_table, k.column_name AS foreign_column FROM information_schema.referential_constraints r JOIN information_schema.key_column_usage k ON k.constraint_name = r.unique_constraint_name AND k.constraint_schema = r.unique_constraint_schema",
+}
+
+
+def keys_jdbc(spark: SparkSession, url: str, **options) -> DataFrame:
+    """Keys of a database, asked of its information schema: three scans, joined here."""
+    read = {k: spark.read.format("jdbc").options(url=url, query=q, **options).load() for k, q in CONSTRAINTS.items()}
+    return constraint_columns(**read).select(*[c.split()[0] for c in KEYS.split(", ")])
+
+
+def table_names(cols: DataFrame) -> DataFrame:
+    return cols.select("table_name").distinct()
+
+
 def user_databases(databases: DataFrame) -> DataFrame:
     return databases.where(~F.col("name").isin(SYSTEM_DATABASES))
 
@@ -67,6 +84,11 @@ def embedding_map(model: DataFrame) -> DataFrame:
     return model.select("name", F.map_from_entries(F.transform(some, lambda d: F.struct(d["name"], d["embedding"]))).alias("correlation_embedding"))
 
 
+def write_models(model: DataFrame, path: str) -> None:
+    """One JSON file for each table under path/name=<table>; JSON is YAML too."""
+    model.select("name", F.to_json(F.struct("name", "sql_name", "dimensions", "joins", "description")).alias("value")).repartition("name").write.mode("overwrite").partitionBy("name").text(path)
+
+
 def croissant(model: DataFrame) -> DataFrame:
     """A JSON-LD dataset description, one a table."""
     fields = F.transform("dimensions", lambda d: F.struct(d["name"].alias("name"), d["type"].alias("type"), d["embedding"].alias("emb")))

@@ -21,7 +21,7 @@ def recent(messages: DataFrame, n: int = 10) -> DataFrame:
 
 def as_assistant(role: Column, content: Column) -> tuple[Column, Column]:
     """Tool messages as the assistant's, their content as a JSON string."""
-    quoted = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.regexp_replace(content, r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n"), F.lit('"'))
+    quoted = F.regexp_replace(F.to_json(F.array(content)), r"^\[|\]$", "")  # every character that JSON escapes
     return F.when(role == "tool", "assistant").otherwise(role), F.when(role == "tool", quoted).otherwise(content)
 
 
@@ -76,9 +76,19 @@ def results(hits: Column) -> Column:
     return F.transform(hits, lambda x: F.struct(x["id"].alias("id"), x["score"].alias("score"), x["text"].alias("content")))
 
 
-def videos(links: DataFrame, n: int = 4) -> DataFrame:
+def videos(links: DataFrame, n: int = 4, order_by: str = "page_id", path: str = "/watch") -> DataFrame:
     """Links to a watch page with their host, the first n."""
-    return links.where(F.expr("parse_url(url, 'PATH') = '/watch'")).select("*", F.expr("parse_url(url, 'HOST')").alias("host")).orderBy("page_id").limit(n)
+    return links.where(F.expr("parse_url(url, 'PATH')") == path).select("*", F.expr("parse_url(url, 'HOST')").alias("host")).orderBy(order_by).limit(n)
+
+
+def append(path: str, chats: DataFrame) -> None:
+    """Saves chats (user_id, chat_id, score: time of the save, payload) as rows; the last of a key counts."""
+    chats.select("user_id", "chat_id", "score", "payload").write.mode("append").parquet(path)
+
+
+def latest(saved_rows: DataFrame) -> DataFrame:
+    """Of each (user_id, chat_id) the payload saved last."""
+    return saved_rows.groupBy("user_id", "chat_id").agg(F.max_by("payload", "score").alias("payload"), F.max("score").alias("score"))
 
 
 def facets(df: DataFrame, column: str) -> DataFrame:

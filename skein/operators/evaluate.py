@@ -27,6 +27,11 @@ def accuracy(found: DataFrame, relevant: DataFrame) -> DataFrame:
     return right.agg(F.count("*").alias("queries"), F.round(F.avg(F.coalesce("hit", F.lit(0))) * 100, 6).alias("accuracy"))
 
 
+def passages(corpus: DataFrame, name: str = "passages") -> DataFrame:
+    """query, place and passage of a corpus whose rows hold a query and its passages."""
+    return corpus.select("query", F.posexplode(F.col(f"{name}.passage_text")).alias("place", "passage"))
+
+
 def answerable(queries: DataFrame, below: int = 10_000) -> DataFrame:
     """Queries with an answer among the first `below` passages. answer_ids: array."""
     return queries.where(F.exists("answer_ids", lambda x: x < below))

@@ -71,8 +71,17 @@ def tensor_cast(value: Column, kind: str) -> Column:
     return d.cast("long") != 0 if name == "boolean" else d.cast(name)
 
 
-def reshape(flat: Column, width: int) -> Column:
-    """A flat array as rows of `width`; an array that doesn't divide so is null."""
+def mapping(text: Column) -> Column:
+    """Inputs and outputs of a model's stored mapping document, as JSON texts."""
+    return F.struct(F.get_json_object(text, "$._source.input").alias("input"), F.get_json_object(text, "$._source.output").alias("output"))
+
+
+def reshape(flat: Column, width: int | list[int]) -> Column:
+    """A flat array as rows of `width`, or nested by several widths, the innermost last; an array that doesn't divide so is null."""
+    if isinstance(width, list):
+        for w in reversed(width):
+            flat = reshape(flat, w)
+        return flat
     rows = F.transform(F.sequence(F.lit(0), (F.size(flat) / width).cast("int") - 1), lambda i: F.slice(flat, i * width + 1, width))
     return F.when((F.size(flat) % width == 0) & (F.size(flat) > 0), rows)
 

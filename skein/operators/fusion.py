@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 RANK_CONSTANT = 60
 
 
-def weighted(vector_hits: DataFrame, text_hits: DataFrame, vector_weight: float = 0.5, text_weight: float = 0.5) -> DataFrame:
-    """Ranks count from 0: score = sum of w / (60 + rank). Both ranks and the source are kept; nothing is cut off."""
+def weighted(vector_hits: DataFrame, text_hits: DataFrame, vector_weight: float = 0.5, text_weight: float = 0.5, alone: DataFrame | None = None) -> DataFrame:
+    """Ranks count from 0: score = sum of w / (60 + rank). Both ranks and the source are kept; nothing is cut off. alone: query_ids that only one
+    retriever ran for, which scores them by weight 1."""
+    if alone is not None:
+        both = weighted(vector_hits, text_hits, vector_weight, text_weight)
+        single_ = alone.select("query_id", F.lit(True).alias("alone"))
+        rank = F.coalesce("vector_rank", "text_rank")
+        score = F.when(F.col("alone"), F.round(1.0 / (RANK_CONSTANT + rank), 9)).otherwise(F.col("score"))
+        return both.join(single_, "query_id", "left").select("query_id", "id", score.alias("score"), "vector_rank", "text_rank", "source")
     v = vector_hits.select("query_id", "id", (F.col("rank") - 1).alias("vector_rank"))
     t = text_hits.select("query_id", "id", (F.col("rank") - 1).alias("text_rank"))
     part = lambda c, w: F.coalesce(F.lit(w) / (RANK_CONSTANT + F.col(c)), F.lit(0.0))

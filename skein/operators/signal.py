@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,47 +16,65 @@ from skein.functions import vector as V
 def spectrum(df: DataFrame, value: str, order_by: list[str], bins: int = 256, phase: bool = False) -> DataFrame:
     """Fingerprint of a column: magnitudes of its discrete Fourier transform over the norm of all bins, the first `bins`.
 
-    Rows are numbered in the given order, which decides the transform. Angles are reduced in whole numbers before they become radians.
-    The norm of all bins is sqrt(N * sum of squares), so only the bins asked for are summed. Cost: N * bins additions, combined in every task."""
-    numbered = _numbered(df.select(F.col(value).cast("double").alias("x"), *order_by), order_by)
-    total = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast("double") * F.col(value).cast("double")).alias("e"))
-    k = F.explode(F.expr(f"sequence(0, least(n, {bins}) - 1)"))
-    angle = F.lit(2 * math.pi) * F.expr("(k * i) % n") / F.col("n")
-    sums = numbered.crossJoin(total).where("n > 0").select("x", "i", "n", "e", k.alias("k")).groupBy("k").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(-F.col("x") * F.sin(angle)).alias("im"), F.first("n").alias("n"), F.first("e").alias("e"))
-    size = F.sqrt("n") * F.sqrt("e")
-    out = sums.select("k", F.coalesce(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2) / F.nullif(size, F.lit(0.0)), F.lit(0.0)).alias("magnitude"), *([F.atan2("im", "re").alias("phase")] if phase else []))
-    return out
-
-
-def _numbered(df: DataFrame, order_by: list[str]) -> DataFrame:
+    Rows are numbered in the given order, which decides the transform. The norm of all bins is sqrt(N * sum of squares), so only the bins asked for are summed."""
+    s = spectra(df, [value], order_by, bins)
+    return s.select("k", "magnitude", *([F.atan2("im", "re").alias("phase")] if phase else []))
+
+
+def spectra(df: DataFrame, columns: list[str], order_by: list[str], bins: int = 256) -> DataFrame:
+    """name, k, re, im, magnitude of several columns in one pass: every Arrow batch gives its part of each sum, by a matrix product. Angles are reduced in whole numbers."""
+    values = [F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.lit(0.0)).alias(f"v{i}") for i, c in enumerate(columns)]
+    total = df.select(*values).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"v{i}") * F.col(f"v{i}")).alias(f"e{i}") for i in range(len(columns))]).first()
+    n, energy = total.n, [total[f"e{i}"] or 0.0 for i in range(len(columns))]
+    rows = _numbered(df.select(*values, *[F.col(c).alias(f"o{i}") for i, c in enumerate(order_by)]), [f"o{i}" for i in range(len(order_by))], [f"v{i}" for i in range(len(columns))])
+    ks = np.arange(min(bins, n))
+
+    def sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        re, im, some = np.zeros((len(columns), len(ks))), np.zeros((len(columns), len(ks))), False
+        for b in it:
+            some = True
+            for at in range(0, b.num_rows, 2_048):
+                part = b.slice(at, 2_048)
+                x = np.stack([part.column(f"v{i}").to_numpy(zero_copy_only=False) for i in range(len(columns))])
+                angle = (2 * math.pi / n) * (part.column("i").to_numpy()[:, None] * ks % n)
+                re += x @ np.cos(angle)
+                im -= x @ np.sin(angle)
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(columns)), len(ks))), pa.array(np.tile(ks, len(columns))), pa.array(re.ravel()), pa.array(im.ravel())], names=["c", "k", "re", "im"])
+
+    found = rows.mapInArrow(sums, "c long, k long, re double, im double").groupBy("c", "k").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    size = [math.sqrt(n) * math.sqrt(e) for e in energy]
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("c").cast("int") + 1)
+    return found.select(pick(columns).alias("name"), "k", "re", "im", F.coalesce(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2) / F.nullif(pick(size), F.lit(0.0)), F.lit(0.0)).alias("magnitude"))
+
+
+def _numbered(df: DataFrame, order_by: list[str], keep: list[str]) -> DataFrame:
     """Numbers rows from 0 in order: each range partition counts for itself and adds what the partitions before it hold."""
     p = df.repartitionByRange(*order_by).withColumn("p", F.spark_partition_id())
     w = Window.partitionBy("p").orderBy(*order_by)
     local = p.withColumn("j", F.row_number().over(w) - 1)
     before = p.groupBy("p").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("p").alias("q"), "before")
-    return local.join(before, F.col("p") == F.col("q")).select("x", (F.col("j") + F.col("before")).cast("long").alias("i"))
+    return local.join(F.broadcast(before), F.col("p") == F.col("q")).select(*keep, (F.col("j") + F.col("before")).cast("long").alias("i"))  # a row for each partition
 
 
-def fingerprints(df: DataFrame, columns: list[str], order_by: list[str], bins: int = 256) -> DataFrame:
-    """name, embedding of each numeric column, in one pass over the rows; columns that aren't numbers have a null embedding.
+def side_by_side(tables: list[DataFrame], order_by: list[list[str]]) -> DataFrame:
+    """Columns of several tables beside each other, row by row in each one's order; a shorter table ends in nulls."""
+    out = None
+    for i, (t, by) in enumerate(zip(tables, order_by, strict=True)):
+        rows = _numbered(t, by, t.columns).withColumnRenamed("i", "row")
+        out = rows if out is None else out.join(rows, "row", "full_outer")
+    return out.drop("row")
 
-    A column's values are gathered in one task each, by an FFT: a column is the unit of parallelism."""
+
+def fingerprints(df: DataFrame, columns: list[str], order_by: list[str], bins: int = 256) -> DataFrame:
+    """name, embedding of each numeric column, in one pass over the rows; columns that aren't numbers have a null embedding."""
     numeric = {f.name for f in df.schema if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")}
-    some = [c for c in columns if c in numeric]
+    some, none = [c for c in columns if c in numeric], df.sparkSession.createDataFrame([(c,) for c in columns if c not in numeric], "name string").withColumn("embedding", F.lit(None).cast("array<double>"))
     if not some:
-        return df.sparkSession.createDataFrame([(c, None) for c in columns], "name string, embedding array<double>")
-    stacked = df.select(*order_by, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in some])).alias("v")).select(F.col("v.name").alias("name"), F.col("v.x").alias("x"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order_by)))
-
-    def fft(t: pa.Table) -> pa.Table:
-        order = np.lexsort([t.column(f"o{i}").to_numpy(zero_copy_only=False) for i in reversed(range(len(order_by)))])
-        v = np.nan_to_num(t.column("x").to_numpy(zero_copy_only=False).astype(float))[order]
-        m = np.abs(np.fft.fft(v))
-        n = np.linalg.norm(m)
-        return pa.table({"name": [t.column("name")[0].as_py()], "embedding": [(m / n if n else m)[:bins]]})
-
-    found = stacked.groupBy("name").applyInArrow(fft, "name string, embedding array<double>")
-    rest = [(c,) for c in columns if c not in numeric]
-    return found.unionByName(df.sparkSession.createDataFrame(rest, "name string").withColumn("embedding", F.lit(None).cast("array<double>"))) if rest else found
+        return none
+    by = F.array_sort(F.collect_list(F.struct("k", "magnitude")))["magnitude"]  # at most `bins` values a column
+    found = spectra(df, some, order_by, bins).groupBy("name").agg(by.alias("embedding"))
+    return found.unionByName(none) if len(some) < len(columns) else found
 
 
 def linked(embeddings: DataFrame) -> DataFrame:
@@ -86,9 +105,24 @@ def wavelet(values: np.ndarray, name: str = "db1", keep: int = 256) -> np.ndarra
     return np.concatenate([x, *parts[::-1]])[:keep]
 
 
-def wavelets(df: DataFrame, value: str, order_by: list[str], name: str = "db1", keep: int = 256) -> DataFrame:
-    """place, coefficient of a column in order; the column is gathered in one task."""
-    gathered = df.agg(F.array_sort(F.collect_list(F.struct(*order_by, F.col(value).cast("double").alias("x"))))["x"].alias("xs"))
+#: Values up to which one task takes a column's transform; a longer column is halved by the cluster first, level by level.
+ONE_TASK = 1 << 16
+
+
+def wavelets(df: DataFrame, value: str, order_by: list[str], name: str = "db1", keep: int = 256, one_task: int = ONE_TASK) -> DataFrame:
+    """place, coefficient of a column in order, the `keep` coarsest. Levels of more than `one_task` values are sums over pairs of rows, done where the rows are;
+    their details lie beyond `keep` and are left out."""
+    h = FILTERS[name]
+    x = _numbered(df.select(F.col(value).cast("double").alias("x"), *order_by), order_by, ["x"])
+    n = df.count()
+    while n > max(one_task, 4 * keep, 2 * len(h)):
+        if n % 2:  # the last value once more
+            x, n = x.unionByName(x.where(F.col("i") == n - 1).withColumn("i", F.lit(n).cast("long"))), n + 1
+        half = n // 2
+        parts = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(c).alias("c")) for m, c in enumerate(h)])
+        to = x.select("x", "i", F.explode(parts).alias("p")).select((F.col("x") * F.col("p.c")).alias("x"), F.pmod(F.col("i") - F.col("p.m"), F.lit(n)).alias("t")).where("t % 2 = 0")
+        x, n = to.groupBy((F.expr("t div 2")).alias("i")).agg(F.sum("x").alias("x")).select("x", "i"), half
+    gathered = x.agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("xs"))
 
     @F.pandas_udf("array<double>")
     def coefficients(s):
@@ -101,9 +135,14 @@ def pearson(a: Column, b: Column) -> Column:
     return F.corr(a.cast("double"), b.cast("double"))
 
 
-def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, correlation of all pairs, in one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+def correlations_with(df: DataFrame, columns: list[str], other: str) -> DataFrame:
+    """a, correlation of each column with one, in one aggregation."""
+    return correlation_matrix(df, columns, other).select("a", "correlation")
+
+
+def correlation_matrix(df: DataFrame, columns: list[str], other: str | None = None) -> DataFrame:
+    """a, b, correlation of all pairs (or of each column with `other`), in one aggregation."""
+    pairs = [(a, other) for a in columns] if other else [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     one = df.agg(*[pearson(F.col(a), F.col(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(f"{i}"), 6).alias("correlation")) for i, (a, b) in enumerate(pairs)])).alias("p")).select("p.*")
 

@@ -41,8 +41,14 @@ def vectors(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
-def asked_vectors(s: SparkSession, d: str, n: int = 1) -> DataFrame:
-    return vectors(s, d).where(F.col("id") < n).withColumnRenamed("id", "query_id")
+def asked_vectors(s: SparkSession, d: str) -> DataFrame:
+    """The queries: every vector whose id is divisible by 20."""
+    return vectors(s, d).where(F.col("id") % 20 == 0).withColumnRenamed("id", "query_id")
+
+
+def good_ids(s: SparkSession, d: str) -> DataFrame:
+    """Ids that a filtered search is held to."""
+    return table(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id")).distinct()
 
 
 def asked_text(s: SparkSession, text: str) -> DataFrame:
@@ -55,7 +61,8 @@ WEIGHTS = {"vector_weight": 0.6, "text_weight": 0.4}
 # ---- SQL parts
 CLEAN = r"replace(regexp_replace(regexp_replace(regexp_replace(text,'\p{C}','','g'),'([.?!])','\1'||chr(1),'g'), chr(1)||'(\s|$)','\1','g'), chr(1), ' ')"
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
-Q0 = "(SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
+Q = "(SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0)"
+GOOD = "(SELECT doc_id FROM labels WHERE quality = 1)"
 L2 = "round(list_distance(embedding::DOUBLE[], q::DOUBLE[])**2, 9)"
 COS = "round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 9)"
 
@@ -73,9 +80,21 @@ def ranked_sql(source: str, order: str, k: int, offset: int = 0) -> str:
     return f"(SELECT *, row_number() OVER (ORDER BY {order}, id) - {offset} AS rank FROM {source} QUALIFY rank BETWEEN 1 AND {k})"
 
 
-VEC_HITS = ranked_sql(f"(SELECT vec_id AS id, {L2} AS distance FROM embeddings, {Q0})", "distance", 10)
-FUSED = "SELECT coalesce(v.id, t.id) AS id, round(coalesce(0.6::DOUBLE / (59 + v.rank), 0) + coalesce(0.4::DOUBLE / (59 + t.rank), 0), 9) AS score, (v.rank - 1)::INTEGER AS vector_rank, (t.rank - 1)::INTEGER AS text_rank, CASE WHEN v.id IS NULL THEN 'text' WHEN t.id IS NULL THEN 'vector' ELSE 'both' END AS source FROM v FULL JOIN t ON v.id = t.id"
-HYBRID = f"WITH {bm25_sql(AND_TEXT, True)}, v AS {VEC_HITS}, t AS {ranked_sql('hits', 'score DESC', 100)}, f AS ({FUSED}) SELECT 0::BIGINT AS query_id, f.*, coalesce(d.text, 'Unknown') AS text FROM f LEFT JOIN documents d ON d.doc_id = f.id"
+def nearest_sql(measure: str, name: str, order: str, k: int = 10, where: str = "") -> str:
+    """Ranked hits of all queries."""
+    return f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}, id) AS rank FROM (SELECT query_id, vec_id AS id, {measure} AS {name} FROM embeddings, {Q}{where}) QUALIFY rank <= {k})"
+
+
+VEC_HITS = nearest_sql(L2, "distance", "distance")
+FUSED = "SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.id, t.id) AS id, round(coalesce(0.6::DOUBLE / (59 + v.rank), 0) + coalesce(0.4::DOUBLE / (59 + t.rank), 0), 9) AS score, (v.rank - 1)::INTEGER AS vector_rank, (t.rank - 1)::INTEGER AS text_rank, CASE WHEN v.id IS NULL THEN 'text' WHEN t.id IS NULL THEN 'vector' ELSE 'both' END AS source FROM v FULL JOIN t ON v.id = t.id AND v.query_id = t.query_id"
+
+
+def text_hits_sql(where: str = "") -> str:
+    """The hits of one text, for all queries."""
+    return f"(SELECT query_id, h.* FROM {ranked_sql(f'(SELECT * FROM hits{where})', 'score DESC', 100)} h, {Q})"
+
+
+HYBRID = f"WITH {bm25_sql(AND_TEXT, True)}, v AS {VEC_HITS}, t AS {text_hits_sql()}, f AS ({FUSED}) SELECT f.*, coalesce(d.text, 'Unknown') AS text FROM f LEFT JOIN documents d ON d.doc_id = f.id"
 
 # ---- cleaning, tokens, names
 
@@ -157,37 +176,32 @@ def _(s, d):
 # ---- retrieval
 
 
-@query("knn_l2", f"SELECT 0::BIGINT AS query_id, id, distance, rank::INTEGER AS rank FROM {VEC_HITS}")
-def _(s, d):
-    return retrieval.knn(vectors(s, d), asked_vectors(s, d))
+KNN = f"SELECT query_id, id, distance, rank::INTEGER AS rank FROM {VEC_HITS}"
 
 
-@query("knn_cosine", f"SELECT 0::BIGINT AS query_id, id, score, rank::INTEGER AS rank FROM {ranked_sql(f'(SELECT vec_id AS id, {COS} AS score FROM embeddings, {Q0})', 'score DESC', 10)}")
+@query("knn_l2", KNN)
 def _(s, d):
-    return retrieval.knn(vectors(s, d), asked_vectors(s, d), metric="cosine")
+    return retrieval.knn_blocks(vectors(s, d), asked_vectors(s, d))
 
 
-@query("knn_filtered", f"SELECT 0::BIGINT AS query_id, id, score, rank::INTEGER AS rank FROM {ranked_sql(f'(SELECT vec_id AS id, {COS} AS score FROM embeddings, {Q0} WHERE vec_id IN (3, 5, 8, 13, 21, 34))', 'score DESC', 10)}")
+@query("knn_batch_join", KNN)
 def _(s, d):
-    return retrieval.knn(vectors(s, d), asked_vectors(s, d), metric="cosine", only=[3, 5, 8, 13, 21, 34])
-
-
-BATCH = f"SELECT query_id, id, distance, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {L2.replace('embedding', 'e.embedding').replace('q::', 'q.embedding::')} AS distance FROM embeddings e, embeddings q WHERE q.vec_id < 50)) WHERE rank <= 10"
+    return retrieval.knn(vectors(s, d), asked_vectors(s, d))
 
 
-@query("knn_batch", BATCH)
+@query("knn_cosine", f"SELECT query_id, id, score, rank::INTEGER AS rank FROM {nearest_sql(COS, 'score', 'score DESC')}")
 def _(s, d):
-    return retrieval.knn_blocks(vectors(s, d), asked_vectors(s, d, 50))
+    return retrieval.knn_blocks(vectors(s, d), asked_vectors(s, d), metric="cosine")
 
 
-@query("knn_batch_join", BATCH)
+@query("knn_filtered", f"SELECT query_id, id, score, rank::INTEGER AS rank FROM {nearest_sql(COS, 'score', 'score DESC', 10, f' WHERE vec_id IN {GOOD}')}")
 def _(s, d):
-    return retrieval.knn(vectors(s, d), asked_vectors(s, d, 50))
+    return retrieval.knn_blocks(vectors(s, d), asked_vectors(s, d), metric="cosine", only=good_ids(s, d))
 
 
-@query("dot_scores", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 100, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 20")
+@query("dot_scores", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 100, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0")
 def _(s, d):
-    a, b = vectors(s, d).where("id < 20").select(F.col("id").alias("a"), F.col("vector").alias("x")), vectors(s, d).select(F.col("id").alias("b"), F.col("vector").alias("y"))
+    a, b = vectors(s, d).where("id % 20 = 0").select(F.col("id").alias("a"), F.col("vector").alias("x")), vectors(s, d).select(F.col("id").alias("b"), F.col("vector").alias("y"))
     return a.crossJoin(b).select("a", "b", F.round(V.dot(F.col("x"), F.col("y")) * 100, 6).alias("score"))
 
 
@@ -212,15 +226,16 @@ def _(s, d):
 
 
 def both_hits(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return retrieval.knn(vectors(s, d), asked_vectors(s, d)), retrieval.text_search(documents(s, d), asked_text(s, AND_TEXT), 100, every=True)
+    t = retrieval.text_search(documents(s, d), asked_text(s, AND_TEXT), 100, every=True).drop("query_id")
+    return retrieval.knn_blocks(vectors(s, d), asked_vectors(s, d)), t.crossJoin(asked_vectors(s, d).select("query_id"))  # the hits of one text, 100 at most, for each query
 
 
-@query("rrf_weighted", f"WITH {bm25_sql(AND_TEXT, True)}, v AS {VEC_HITS}, t AS {ranked_sql('hits', 'score DESC', 100)} SELECT 0::BIGINT AS query_id, * FROM ({FUSED})")
+@query("rrf_weighted", f"WITH {bm25_sql(AND_TEXT, True)}, v AS {VEC_HITS}, t AS {text_hits_sql()} SELECT * FROM ({FUSED})")
 def _(s, d):
     return fusion.weighted(*both_hits(s, d), 0.6, 0.4)
 
 
-SETS = f"WITH {bm25_sql(AND_TEXT, True)}, u AS (SELECT id, rank FROM {VEC_HITS} UNION ALL SELECT id, rank FROM {ranked_sql('hits', 'score DESC', 100)}), g AS (SELECT 0::BIGINT AS query_id, id, round(sum(1::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY id)"
+SETS = f"WITH {bm25_sql(AND_TEXT, True)}, u AS (SELECT query_id, id, rank FROM {VEC_HITS} UNION ALL SELECT query_id, id, rank FROM {text_hits_sql()}), g AS (SELECT query_id, id, round(sum(1::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY ALL)"
 
 
 @query("rrf_sets", f"{SETS} SELECT * FROM g")
@@ -229,7 +244,7 @@ def _(s, d):
     return fusion.sets({"vector": v, "text": t})
 
 
-@query("rrf_minmax", f"{SETS} SELECT query_id, id, round((score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()), 6) AS score FROM g")
+@query("rrf_minmax", f"{SETS} SELECT query_id, id, round((score - min(score) OVER (PARTITION BY query_id)) / (max(score) OVER (PARTITION BY query_id) - min(score) OVER (PARTITION BY query_id)), 6) AS score FROM g")
 def _(s, d):
     v, t = both_hits(s, d)
     return fusion.min_max(fusion.sets({"vector": v, "text": t}))
@@ -246,7 +261,7 @@ def flagship(s: SparkSession, d: str) -> DataFrame:
 QUERIES["hybrid_search"], ORACLES["hybrid_search"] = flagship, HYBRID
 
 
-@query("hybrid_vector_only", f"SELECT 0::BIGINT AS query_id, v.id, round(1::DOUBLE / (59 + rank), 9) AS score, (rank - 1)::INTEGER AS vector_rank, NULL::INTEGER AS text_rank, 'vector' AS source, coalesce(d.text, 'Unknown') AS text FROM {VEC_HITS} v LEFT JOIN documents d ON d.doc_id = v.id")
+@query("hybrid_vector_only", f"SELECT query_id, v.id, round(1::DOUBLE / (59 + rank), 9) AS score, (rank - 1)::INTEGER AS vector_rank, NULL::INTEGER AS text_rank, 'vector' AS source, coalesce(d.text, 'Unknown') AS text FROM {VEC_HITS} v LEFT JOIN documents d ON d.doc_id = v.id")
 def _(s, d):
     return search.search(documents(s, d), vectors(s, d), asked_vectors(s, d), **WEIGHTS)
 
@@ -256,9 +271,46 @@ def _(s, d):
     return search.search(documents(s, d), None, asked_text(s, AND_TEXT), **WEIGHTS)
 
 
-@query("hybrid_filtered", HYBRID.replace(f"FROM embeddings, {Q0})", f"FROM embeddings, {Q0} WHERE vec_id % 3 = 0 AND vec_id < 100)").replace("t AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) - 0 AS rank FROM hits", "t AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT * FROM hits WHERE id % 3 = 0 AND id < 100)"))
+@query("hybrid_filtered", HYBRID.replace(VEC_HITS, nearest_sql(L2, "distance", "distance", 10, f" WHERE vec_id IN {GOOD}")).replace(text_hits_sql(), text_hits_sql(f" WHERE id IN {GOOD}")))
 def _(s, d):
-    return search.search(documents(s, d), vectors(s, d), hybrid_query(s, d), only=list(range(0, 100, 3)), **WEIGHTS)
+    return search.search(documents(s, d), vectors(s, d), hybrid_query(s, d), only=good_ids(s, d), **WEIGHTS)
+
+
+MIXED = f"""WITH {bm25_sql(AND_TEXT, True)}, v AS (SELECT * FROM {VEC_HITS} WHERE query_id % 80 <> 60), t AS (SELECT * FROM {text_hits_sql()} WHERE query_id % 80 NOT IN (20, 40)), f AS ({FUSED})
+SELECT query_id, f.id, CASE WHEN query_id % 80 = 0 THEN score ELSE round(1::DOUBLE / (60 + coalesce(vector_rank, text_rank)), 9) END AS score, vector_rank, text_rank, f.source, coalesce(d.text, 'Unknown') AS text FROM f LEFT JOIN documents d ON d.doc_id = f.id"""
+
+
+@query("hybrid_mixed", MIXED)
+def _(s, d):
+    """Of four queries one has both, one an empty text, one a null text, one a null vector."""
+    part = F.col("query_id") % 80
+    q = asked_vectors(s, d).select("query_id", F.when(part != 60, F.col("vector")).alias("vector"), F.when(part == 20, "").when(part != 40, AND_TEXT).alias("text"))
+    return search.search(documents(s, d), vectors(s, d), q, **WEIGHTS)
+
+
+def shared_folder(s: SparkSession, tag: str) -> str:
+    """A new folder under the one that the cluster names; a local master without one gets a temporary folder."""
+    import tempfile
+    import uuid
+
+    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
+    if not base:
+        if not s.sparkContext.master.startswith("local") or s.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="skein-")
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+@query("hybrid_postings", HYBRID)
+def _(s, d):
+    """The flagship search from a written text index."""
+    postings = retrieval.write_postings(documents(s, d), shared_folder(s, "postings"))
+    return search.search(documents(s, d), vectors(s, d), hybrid_query(s, d), postings=postings, **WEIGHTS)
+
+
+@query("bm25_totals", f"WITH {bm25_sql(AND_TEXT, True)} SELECT 0::BIGINT AS query_id, count(*) AS total FROM hits HAVING count(*) > 0")
+def _(s, d):
+    return retrieval.totals(retrieval.bm25(documents(s, d), asked_text(s, AND_TEXT), every=True))
 
 
 def tombstones(s: SparkSession, d: str) -> DataFrame:
@@ -278,12 +330,12 @@ def _(s, d):
 TOKEN_VECTORS = "list_transform(range(0, 4), lambda i: embedding[i * 16 + 1:i * 16 + 16]::DOUBLE[])"
 
 
-@query("maxsim_rerank", f"WITH m AS (SELECT vec_id AS id, {TOKEN_VECTORS} AS vs FROM embeddings), q AS (SELECT vs AS qs FROM m WHERE id = 0) SELECT 0::BIGINT AS query_id, id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM (SELECT id, round(list_sum(list_transform(qs, lambda a: list_max(list_transform(vs, lambda b: list_dot_product(a, b))))), 9) AS score FROM m, q WHERE id < 200)")
+@query("maxsim_rerank", f"WITH {bm25_sql(AND_TEXT, True)}, c AS (SELECT query_id, id FROM {VEC_HITS} UNION SELECT query_id, id FROM {text_hits_sql()}), m AS (SELECT vec_id AS id, {TOKEN_VECTORS} AS vs FROM embeddings) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM (SELECT query_id, m.id, round(list_sum(list_transform(q.vs, lambda a: list_max(list_transform(m.vs, lambda b: list_dot_product(a, b))))), 9) AS score FROM c JOIN m USING (id) JOIN m q ON q.id = c.query_id)")
 def _(s, d):
+    """Two phases: what neighbours and words find, ranked anew by token vectors."""
     parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("vector", i * 16 + 1, 16))
     m = vectors(s, d).select("id", parts.alias("vectors"))
-    q = m.where("id = 0").withColumnRenamed("id", "query_id")
-    return retrieval.late_interaction(m, q, m.where("id < 200").select(F.lit(0).cast("long").alias("query_id"), "id"))
+    return retrieval.late_interaction(m, m.where("id % 20 = 0").withColumnRenamed("id", "query_id"), retrieval.candidates(*both_hits(s, d)))
 
 
 @query("hashing_embed")
@@ -291,18 +343,9 @@ def _(s, d):
     return table(s, d, "benchmark").select("item_id", V.hashed(X.tokens(F.col("text"))).alias("embedding"))
 
 
-def first_vector(s: SparkSession, d: str) -> list[float]:
-    return [float(x) for x in vectors(s, d).where("id = 0").first().vector]
-
-
-@query("lsh_knn")
-def _(s, d):
-    return retrieval.lsh_knn(vectors(s, d), first_vector(s, d))
-
-
 @query("ivf_knn")
 def _(s, d):
-    return retrieval.ivf_knn(*retrieval.ivf_cells(vectors(s, d)), first_vector(s, d))
+    return retrieval.ivf_knn(retrieval.ivf_cells(vectors(s, d), path=shared_folder(s, "cells")), asked_vectors(s, d))
 
 
 # ---- aggregates, lifecycle
@@ -404,7 +447,7 @@ def _(s, d):
     return catalog.models(table_columns(s, d), table_keys(s), "shop", prints)
 
 
-@query("croissant")
+@query("croissant", "SELECT table_name AS name, '{\"@type\":\"sc:Dataset\",\"name\":\"' || table_name || '\",\"description\":\"Table ' || table_name || ' with columns ' || string_agg(column_name, ', ' ORDER BY ordinal_position) || '\",\"recordSet\":[{\"@type\":\"cr:RecordSet\",\"name\":\"' || table_name || '\",\"field\":[' || string_agg('{\"name\":\"' || column_name || '\",\"type\":\"' || CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' ELSE lower(data_type) END || '\"}', ',' ORDER BY ordinal_position) || ']}]}' AS json FROM (SELECT *, CASE WHEN data_type LIKE 'TIMESTAMP%' THEN 'TIMESTAMP_NTZ' ELSE data_type END AS data_type FROM (SELECT table_name, column_name, ordinal_position, data_type FROM information_schema.columns)) WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem') GROUP BY table_name")
 def _(s, d):
     return catalog.croissant(catalog.models(table_columns(s, d), table_keys(s), "shop"))
 
@@ -417,17 +460,22 @@ def _(s, d):
     return signal.spectrum(table(s, d, "customer"), "c_acctbal", ["c_custkey"]).select(F.col("k").cast("long").alias("k"), F.round("magnitude", 6).alias("magnitude"))
 
 
-@query("dft_phase")
+@query("dft_phase", "WITH r AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, c_acctbal AS x, count(*) OVER () AS n FROM customer), k AS (SELECT unnest(range(1, 256)) AS k) SELECT k, round(atan2(-sum(x * sin(2 * pi() * ((k * i) % n) / n)), sum(x * cos(2 * pi() * ((k * i) % n) / n))), 5) AS phase FROM r, k WHERE k < n GROUP BY k")
 def _(s, d):
-    return signal.spectrum(table(s, d, "customer"), "c_acctbal", ["c_custkey"], phase=True)
+    return signal.spectrum(table(s, d, "customer"), "c_acctbal", ["c_custkey"], phase=True).where("k > 0").select("k", F.round("phase", 5).alias("phase"))
 
 
+LINKED_SQL = """WITH r AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS i, count(*) OVER () AS n, l_quantity AS x1, l_extendedprice AS x2, l_discount AS x3, l_tax AS x4 FROM lineitem),
+s AS (SELECT k, ((k * i) % n)::DOUBLE / n * 2 * pi() AS t, n, x1, x2, x3, x4 FROM r, (SELECT unnest(range(0, 256)) AS k)),
+m AS (SELECT k, any_value(n) AS n, """ + ", ".join(f"sqrt(sum(x{j} * cos(t)) ** 2 + sum(x{j} * sin(t)) ** 2) AS m{j}, sum(x{j} * x{j}) AS e{j}" for j in range(1, 5)) + """ FROM s GROUP BY k),
+e AS (SELECT k, """ + ", ".join(f"m{j} / sqrt(n * e{j}) AS f{j}" for j in range(1, 5)) + """ FROM m)
+""" + " UNION ALL ".join(f"SELECT '{min(a, b)}' AS a, '{max(a, b)}' AS b, round(sum(f{i} * f{j}), 6) AS dot, round(sum(f{i} * f{j}) / sqrt(sum(f{i} * f{i}) * sum(f{j} * f{j})), 6) AS cosine FROM e" for i, a in enumerate(["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 1) for j, b in enumerate(["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 1) if i < j)
 LINKED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@query("column_linking")
+@query("column_linking", LINKED_SQL)
 def _(s, d):
-    return signal.linked(signal.fingerprints(table(s, d, "lineitem"), LINKED, ["l_orderkey", "l_linenumber"]))
+    return signal.linked(signal.fingerprints(table(s, d, "lineitem"), LINKED, ["l_orderkey", "l_linenumber", *LINKED]))
 
 
 @query("pearson_corr", "SELECT " + " UNION ALL SELECT ".join(f"'{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS correlation FROM lineitem" for i, a in enumerate(LINKED) for b in LINKED[i:]))
@@ -440,9 +488,19 @@ def _(s, d):
     return signal.wavelets(table(s, d, "customer"), "c_acctbal", ["c_custkey"])
 
 
-@query("paired_ttest")
+@query("correlations_with", "SELECT " + " UNION ALL SELECT ".join(f"'{a}' AS a, round(corr({a}, l_extendedprice), 6) AS correlation FROM lineitem" for a in LINKED))
+def _(s, d):
+    return signal.correlations_with(table(s, d, "lineitem"), LINKED, "l_extendedprice")
+
+
+@query("paired_ttest", "SELECT count(*) AS n, round(avg(l_discount - l_tax) / (stddev_samp(l_discount - l_tax) / sqrt(count(*))), 4) AS t, abs(avg(l_discount - l_tax) / (stddev_samp(l_discount - l_tax) / sqrt(count(*)))) > 1.96 AS significant FROM lineitem")
+def _(s, d):
+    return signal.paired_t(table(s, d, "lineitem"), "l_discount", "l_tax").select("n", F.round("t", 4).alias("t"), "significant")
+
+
+@query("side_by_side", "SELECT n_name, r_name FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) LEFT JOIN (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) AS i FROM region) USING (i)")
 def _(s, d):
-    return signal.paired_t(table(s, d, "lineitem"), "l_discount", "l_tax")
+    return signal.side_by_side([table(s, d, "nation"), table(s, d, "region")], [["n_nationkey"], ["r_regionkey"]]).select("n_name", "r_name")
 
 
 @query("pca")
@@ -474,6 +532,20 @@ def _(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", features.tensor_cast(F.col("l_extendedprice").cast("string"), "TYPE_INT64").alias("as_long"), features.tensor_cast(F.col("l_extendedprice"), "FP32").alias("as_float"), features.tensor_cast(F.col("l_discount") * 20, "BOOL").alias("as_bool"))
 
 
+@query("payload_mapping", "SELECT n_nationkey, '[\"' || n_name || '\"]' AS input, n_regionkey::VARCHAR AS output FROM nation")
+def _(s, d):
+    m = features.mapping(F.format_string('{"_source": {"input": ["%s"], "output": %d}}', "n_name", "n_regionkey"))
+    return table(s, d, "nation").select("n_nationkey", m["input"].alias("input"), m["output"].alias("output"))
+
+
+@query("payload_shape", "SELECT vec_id AS id, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[33]::DOUBLE, 6) AS third, round(embedding[64]::DOUBLE, 6) AS last, 'FP32' AS kind FROM embeddings")
+def _(s, d):
+    """The request body of nested shape, read back from its JSON."""
+    j = features.payload(F.lit("x"), F.lit("FP32"), F.array(F.lit(4), F.lit(16)), features.reshape(F.col("vector"), [4, 16]))
+    at = lambda p: F.round(F.get_json_object(j, f"$.inputs[0].{p}").cast("float").cast("double"), 6)
+    return vectors(s, d).select("id", at("data[0][0][0]").alias("first"), at("data[0][2][0]").alias("third"), at("data[0][3][15]").alias("last"), F.get_json_object(j, "$.inputs[0].datatype").alias("kind"))
+
+
 @query("payload_json")
 def _(s, d):
     v = vectors(s, d)
@@ -536,12 +608,78 @@ def _(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", X.title(F.to_json(F.struct(F.col("text").alias("input")))).alias("title"))
 
 
-@query("tool_role_rewrite", f"SELECT conv_id, turn, CASE WHEN role = 'tool' THEN 'assistant' ELSE role END AS role, CASE WHEN role = 'tool' THEN '\"' || replace(replace(replace(text, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n') || '\"' ELSE text END AS content FROM {MESSAGES}")
+@query("tool_role_rewrite", f"SELECT conv_id, turn, CASE WHEN role = 'tool' THEN 'assistant' ELSE role END AS role, CASE WHEN role = 'tool' THEN to_json(text)::VARCHAR ELSE text END AS content FROM {MESSAGES}")
 def _(s, d):
     role, content = chat.as_assistant(F.col("role"), F.col("text"))
     return messages(s, d).select("conv_id", "turn", role.alias("role"), content.alias("content"))
 
 
+@query("chat_latest", "SELECT conv_id AS user_id, turn % 3 AS chat_id, arg_max(text, (turn, text)) AS payload FROM conversations GROUP BY ALL")
+def _(s, d):
+    c = table(s, d, "conversations").select(F.col("conv_id").alias("user_id"), (F.col("turn") % 3).alias("chat_id"), F.struct("turn", "text").alias("score"), F.col("text").alias("payload"))
+    return chat.latest(c).drop("score")
+
+
+@query("form_json", "SELECT conv_id, turn, '{\"role\":\"' || role || '\"}' AS json FROM conversations")
+def _(s, d):
+    return table(s, d, "conversations").select("conv_id", "turn", chat.form_json(F.create_map(F.lit("role"), F.col("role"), F.lit("files"), F.lit("x"))).alias("json"))
+
+
+@query("chat_results", "SELECT doc_id, source AS content FROM documents")
+def _(s, d):
+    hit = F.struct(F.col("doc_id").alias("id"), F.lit(1.0).alias("score"), F.col("source").alias("text"))
+    return table(s, d, "documents").select("doc_id", chat.results(F.array(hit))[0]["content"].alias("content"))
+
+
+@query("task_rows", "SELECT o_orderkey::VARCHAR AS o_orderkey, coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END, '') AS status FROM orders")
+def _(s, d):
+    return chat.task_rows(table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status")))
+
+
+@query("watch_links", "SELECT page_id, 'v' || page_id || '.example.com' AS host FROM pages WHERE page_id % 2 = 0 ORDER BY page_id LIMIT 4")
+def _(s, d):
+    links = table(s, d, "pages").select("page_id", F.format_string("https://v%d.example.com/%s?v=1", "page_id", F.when(F.col("page_id") % 2 == 0, "watch").otherwise("other")).alias("url"))
+    return chat.videos(links).select("page_id", "host")
+
+
+@query("tracker_filename", "SELECT event_id, 'tasks_' || strftime(ts, '%Y-%m-%dT%H-%M-%S') || '.json' AS name FROM events")
+def _(s, d):
+    return table(s, d, "events").select("event_id", files.tracker_filename("tasks", F.col("ts")).alias("name"))
+
+
+@query("point_get", "SELECT doc_id, text FROM documents WHERE doc_id = 7")
+def _(s, d):
+    return table(s, d, "documents").where(F.col("doc_id") == 7).select("doc_id", "text")
+
+
+@query("table_names", "SELECT DISTINCT table_name FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem')")
+def _(s, d):
+    return catalog.table_names(table_columns(s, d))
+
+
+@query("constraint_columns", "SELECT 'k' || n_regionkey AS constraint_name, n_name AS column_name, n_nationkey::INTEGER AS position, CASE WHEN n_regionkey > 0 THEN upper(n_name) END AS foreign_column FROM nation")
+def _(s, d):
+    """Composite keys: the nations of a region are the columns of one, paired by place with those they refer to; the first has no target."""
+    n = table(s, d, "nation").withColumn("constraint_name", F.concat(F.lit("k"), F.col("n_regionkey"))).withColumn("table_schema", F.lit("public"))
+    own = n.select("constraint_name", "table_schema", F.lit("t").alias("table_name"), F.lit("FOREIGN KEY").alias("constraint_type")).distinct()
+    usage = n.select("constraint_name", "table_schema", F.col("n_name").alias("column_name"), F.col("n_nationkey").alias("position"))
+    targets = n.where("n_regionkey > 0").select("constraint_name", "table_schema", F.col("n_nationkey").alias("position"), F.lit("f").alias("foreign_table"), F.upper("n_name").alias("foreign_column"))
+    return catalog.constraint_columns(own, usage, targets).select("constraint_name", "column_name", F.col("position").cast("int").alias("position"), "foreign_column")
+
+
+@query("embedding_map", "SELECT 'customer' AS name, 2::BIGINT AS columns, true AS whole")
+def _(s, d):
+    prints = signal.fingerprints(table(s, d, "customer"), ["c_custkey", "c_name", "c_acctbal"], ["c_custkey"]).select(F.lit("customer").alias("table_name"), F.col("name").alias("column_name"), "embedding")
+    m = catalog.embedding_map(catalog.models(table_columns(s, d), table_keys(s), "shop", prints)).where("name = 'customer'")
+    return m.select("name", F.size("correlation_embedding").cast("long").alias("columns"), (F.size(F.col("correlation_embedding")["c_acctbal"]) > 0).alias("whole"))
+
+
+@query("passages", "SELECT item_id::VARCHAR AS query, unnest([0, 1])::INTEGER AS place, unnest([text, 'p: ' || text]) AS passage FROM benchmark")
+def _(s, d):
+    b = table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("query"), F.struct(F.array("text", F.concat(F.lit("p: "), "text")).alias("passage_text")).alias("passages"))
+    return evaluate.passages(b)
+
+
 @query("message_type", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'input' WHEN turn % 3 = 1 THEN 'input_related' ELSE 'inquiry' END AS type FROM conversations")
 def _(s, d):
     key = F.when(F.col("turn") % 3 == 0, "input").when(F.col("turn") % 3 == 1, "related_query").otherwise("inquiry")
@@ -646,11 +784,11 @@ def _(s, d):
     return table(s, d, "events").agg(F.round(F.count("*") / (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) * 1e6, 6).alias("per_second"))
 
 
-@query("top1_accuracy", "WITH n AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.label = b.label AS same, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])**2, 9), b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id < 50 AND b.vec_id >= 50) SELECT count(*) AS queries, round(avg(same::INTEGER) * 100, 6) AS accuracy FROM n WHERE r = 1")
+@query("top1_accuracy", "WITH n AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.label = b.label AS same, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])**2, 9), b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0) SELECT count(*) AS queries, round(avg(same::INTEGER) * 100, 6) AS accuracy FROM n WHERE r = 1")
 def _(s, d):
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    found = retrieval.knn_blocks(vectors(s, d).where("id >= 50"), asked_vectors(s, d, 50), 1)
-    relevant = e.where("id < 50").select(F.col("id").alias("query_id"), "label").join(e, "label")
+    found = retrieval.knn_blocks(vectors(s, d).where("id % 20 <> 0"), asked_vectors(s, d), 1)
+    relevant = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "label").join(e, "label")
     return evaluate.accuracy(found, relevant)
 
 
@@ -662,16 +800,7 @@ def _(s, d):
 @query("stream_ingest")
 def _(s, d):
     """The benchmark texts as files, taken in by a stream that ends when all are read."""
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="skein-")
-    import uuid
-
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = shared_folder(s, "stream")
     table(s, d, "benchmark").select(F.regexp_replace("text", "\n", " ").alias("value")).repartition(4).write.text(f"{base}/in")
-    ingest.stream(s, f"{base}/in", f"{base}/out", f"{base}/seen")
+    ingest.stream(s, f"{base}/in", f"{base}/out", f"{base}/seen", tasks=f"{base}/tasks")
     return s.read.parquet(f"{base}/out").select("document_name", "chunk_no", "chunk_text")
-
-

@@ -101,8 +101,58 @@ def issue_chunks(exports: DataFrame) -> DataFrame:
     return i.select(X.uuid5(F.col("path")).alias("document_id"), F.lit("").alias("access_group"), X.basename(F.col("path")).alias("document_name"), F.format_string("Title: %s\nStatus: %s\nCreated At: %s", "i.title", "i.status", "i.createdAt").alias("chunk_text"), F.lit("by issue").alias("chunking_strategy"), F.lit(None).cast("int").alias("chunk_no"))
 
 
-def load(spark: SparkSession, path: str, c_type: str, read_pdf: bool = True, parser: Callable[[bytes], str] | None = None) -> DataFrame:
-    """A source by its type: chunks of documents, rows of tables."""
+def tracker_filename(prefix: str, ts: Column) -> Column:
+    """The name an export is saved under."""
+    return F.concat(F.lit(f"{prefix}_"), F.date_format(ts, "yyyy-MM-dd'T'HH-mm-ss"), F.lit(".json"))
+
+
+def sniffed(spark: SparkSession, path: str) -> str | None:
+    """What a path is: db for a connection string, dir for a directory, else the type that name and first bytes tell."""
+    if re.match(r"(?:postgres|postgresql|mysql|jdbc:[a-z]+)://", path) or path.startswith("jdbc:"):
+        return "db"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        raise FileNotFoundError(path)
+    if fs.getFileStatus(p).isDirectory():
+        return "dir"
+    return spark.read.format("binaryFile").load(path).select(kind(F.col("path"), F.substring("content", 1, 16)).alias("k")).first().k
+
+
+def directory(spark: SparkSession, path: str, read_pdf: bool = True, parser: Callable[[bytes], str] | None = None) -> DataFrame:
+    """Chunks of all documents under a directory, type by type, so each type is one scan; files of tables and of unknown types aren't documents and are left out."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", kind(F.col("path"), F.substring("content", 1, 16)).alias("k"))
+    known = ["txt", "markdown", "html", *sorted(PARSERS), *(["pdf"] if read_pdf and parser else [])]
+    out = None
+    for k in [r.k for r in found.where(F.col("k").isin(known)).select("k").distinct().orderBy("k").collect()]:
+        paths = [r.path for r in found.where(F.col("k") == k).collect()]
+        part = load(spark, paths, k, read_pdf, parser if k == "pdf" else None)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], CHUNKS) if out is None else out
+
+
+def database(spark: SparkSession, url: str, table: str | None = None, **options) -> DataFrame:
+    """Rows of a table of a database, or the list of its tables."""
+    c = re.match(CONNECTION.replace("(?<", "(?P<"), url)
+    if url.startswith("jdbc:"):
+        to, login = url, {}
+    elif c and c["type"] in ("postgres", "postgresql"):
+        to, login = f"jdbc:postgresql://{c['host']}:{c['port'] or 5432}/{c['database'] or ''}", {"user": c["user"], "password": c["password"]}
+    elif c and c["type"] == "mysql":
+        to, login = f"jdbc:mysql://{c['host']}:{c['port'] or 3306}/{c['database'] or ''}", {"user": c["user"], "password": c["password"]}
+    else:
+        raise NotImplementedError(f"databases of {url.split(':')[0]}")
+    what = {"dbtable": table} if table else {"query": "SELECT table_name FROM information_schema.tables WHERE table_schema = 'public'"}
+    return spark.read.format("jdbc").options(url=to, **{k: v for k, v in login.items() if v}, **what, **options).load()
+
+
+def load(spark: SparkSession, path: str | list[str], c_type: str | None = None, read_pdf: bool = True, parser: Callable[[bytes], str] | None = None, **options) -> DataFrame:
+    """A source by its type, which is sniffed if it isn't given: chunks of documents, rows of tables."""
+    c_type = c_type or sniffed(spark, path)
+    if c_type == "dir":
+        return directory(spark, path, read_pdf, parser)
+    if c_type == "db":
+        return database(spark, path, **options)
     if c_type == "txt":
         return chunks(texts(spark, path))
     if c_type in ("markdown", "html"):

@@ -92,9 +92,99 @@ def test_knn_blocks_equals_join(spark):
     q = docs.where("id < 7").withColumnRenamed("id", "query_id")
     key = lambda df: sorted((r.query_id, r.id, r["rank"]) for r in df.collect())
     assert key(retrieval.knn_blocks(docs, q, 5)) == key(retrieval.knn(docs, q, 5))
-    cells, centres = retrieval.ivf_cells(docs, 8)
-    query = [float(x) for x in docs.where("id = 3").first().vector]
-    assert one(retrieval.ivf_knn(cells, centres, query, 5, probes=8)) == [r.id for r in retrieval.knn(docs, q.where("query_id = 3"), 5).orderBy("rank").collect()]
+    for metric in ("cosine", "dot"):
+        assert key(retrieval.knn_blocks(docs, q, 5, metric, most=3)) == key(retrieval.knn(docs, q, 5, metric))
+    index = retrieval.ivf_cells(docs, 8)
+    index.probes = 8
+    assert key(retrieval.ivf_knn(index, q, 5)) == key(retrieval.knn(docs, q, 5))
+
+
+def test_ivf_recall(spark):
+    """With the settings of the registered query, over all its queries."""
+    from skein.plans import registry
+
+    d = "/root/testdata/sf0.01"
+    found = lambda df: {(r.query_id, r.id) for r in df.collect()}
+    exact, got = found(registry.QUERIES["knn_l2"](spark, d)), found(registry.QUERIES["ivf_knn"](spark, d))
+    assert len(exact & got) >= 0.9 * len(exact)
+
+
+def test_search_needs_something_to_search_by(spark, small):
+    docs, vecs = small
+    q = spark.createDataFrame([(1, " ", None)], "query_id long, text string, vector array<float>")
+    with pytest.raises(ValueError):
+        search.search(docs, vecs, q)
+
+
+def test_wavelets_halved_by_the_cluster(spark):
+    for n in (1001, 4096):
+        x = np.random.default_rng(3).normal(size=n)
+        df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, x double").repartition(3)
+        for name in ("db1", "db3"):
+            got = [r.coefficient for r in signal.wavelets(df, "x", ["i"], name, keep=16, one_task=100).orderBy("place").collect()]
+            assert np.allclose(got, signal.wavelet(x, name, 16))
+
+
+def test_components_against_svd(spark):
+    x = np.random.default_rng(4).normal(size=(200, 4)) @ np.diag([5, 2, 1, 0.1])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i long, a double, b double, c double, d double")
+    got = np.array([r.components for r in signal.principal_components(df, list("abcd"), 2).orderBy("i").collect()])
+    y = x - x.mean(0)
+    want = y @ np.linalg.svd(y)[2][:2].T
+    assert np.allclose(np.abs(got), np.abs(want))
+
+
+def test_directories_and_unknown_types(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("one")
+    (tmp_path / "in/b.md").write_text("# Two\ntext")
+    (tmp_path / "in/c.bin").write_bytes(b"??")
+    got = files.load(spark, str(tmp_path / "in"))
+    assert sorted((r.document_name, r.chunk_text) for r in got.collect()) == [("a.txt", "one"), ("b.md", "# Two text")]
+    assert files.sniffed(spark, "postgres://u:p@h/db") == "db" and files.sniffed(spark, str(tmp_path / "in/a.txt")) == "txt"
+    with pytest.raises(FileNotFoundError):
+        files.load(spark, str(tmp_path / "none"))
+    with pytest.raises(NotImplementedError):
+        files.load(spark, str(tmp_path / "in/c.bin"))
+
+
+def test_index_numbers_and_log(spark, tmp_path):
+    ix = Index(spark, f"file://{tmp_path}", "demo", 1).create()
+    rows = spark.range(100).selectExpr("cast(id as string) as text", "array(cast(id as float)) as vector").repartition(7)
+    ix.add(rows)
+    ix.add(rows.limit(5))
+    assert sorted(r.id for r in ix.docs().collect()) == list(range(105))
+    before = ix.log().count()
+    ix.snapshot()
+    assert ix.log().count() == 1 < before and ix.docs().count() == 105
+    ix.add(rows.limit(2))
+    assert sorted(r.id for r in ix.docs().collect()) == list(range(107)) and ix.get(106).count() == 1
+    assert Index.open(spark, f"file://{tmp_path}", "demo", 1).docs().count() == 107
+    with pytest.raises(KeyError):
+        Index.open(spark, f"file://{tmp_path}", "other", 1)
+
+
+def test_tool_texts_are_json(spark):
+    text = 'tab\t quote" back\\ line\n return\r bell\x07 é'
+    m = spark.createDataFrame([("tool", text)], "role string, text string").coalesce(1)
+    assert json.loads(m.select(conversation.as_assistant(F.col("role"), F.col("text"))[1]).first()[0]) == text
+
+
+def test_models_as_files(spark, tmp_path):
+    from skein.operators import catalog
+
+    cols = spark.createDataFrame([("t", "a", 1, "int"), ("t", "b", 2, "int")], catalog.COLUMNS)
+    ks = catalog.keys(spark, {"t": ["a"]}, [([("a", "x"), ("b", "y")], "t", "f")])
+    assert catalog.joins(ks).first().sql == "{t}.a = {f}.x AND {t}.b = {f}.y"
+    catalog.write_models(catalog.models(cols, ks, "db"), f"{tmp_path}/models")
+    assert json.loads(spark.read.text(f"{tmp_path}/models").first().value)["sql_name"] == "db.t"
+
+
+def test_states_of_ingestion(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("one")
+    ingest.stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "seen"), tasks=str(tmp_path / "tasks"))
+    assert [(r.task_id, r.status) for r in ingest.task_status(spark.read.parquet(str(tmp_path / "tasks"))).collect()] == [("batch-0", "SUCCESS")]
 
 
 def test_log_codec():
