@@ -447,7 +447,7 @@ def _(s, d):
     return catalog.models(table_columns(s, d), table_keys(s), "shop", prints)
 
 
-@query("croissant", "SELECT table_name AS name, '{\"@type\":\"sc:Dataset\",\"name\":\"' || table_name || '\",\"description\":\"Table ' || table_name || ' with columns ' || string_agg(column_name, ', ' ORDER BY ordinal_position) || '\",\"recordSet\":[{\"@type\":\"cr:RecordSet\",\"name\":\"' || table_name || '\",\"field\":[' || string_agg('{\"name\":\"' || column_name || '\",\"type\":\"' || CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' ELSE lower(data_type) END || '\"}', ',' ORDER BY ordinal_position) || ']}]}' AS json FROM (SELECT *, CASE WHEN data_type LIKE 'TIMESTAMP%' THEN 'TIMESTAMP_NTZ' ELSE data_type END AS data_type FROM (SELECT table_name, column_name, ordinal_position, data_type FROM information_schema.columns)) WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem') GROUP BY table_name")
+@query("croissant", "SELECT table_name AS name, '{\"@type\":\"sc:Dataset\",\"name\":\"' || table_name || '\",\"description\":\"Table ' || table_name || ' with columns ' || string_agg(column_name, ', ' ORDER BY ordinal_position) || '\",\"recordSet\":[{\"@type\":\"cr:RecordSet\",\"name\":\"' || table_name || '\",\"field\":[' || string_agg('{\"name\":\"' || column_name || '\",\"type\":\"' || CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' ELSE lower(data_type) END || '\"}', ',' ORDER BY ordinal_position) || ']}]}' AS json FROM (SELECT * REPLACE (CASE WHEN data_type LIKE 'TIMESTAMP%' THEN 'TIMESTAMP_NTZ' ELSE data_type END AS data_type) FROM information_schema.columns) WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem') GROUP BY table_name")
 def _(s, d):
     return catalog.croissant(catalog.models(table_columns(s, d), table_keys(s), "shop"))
 
