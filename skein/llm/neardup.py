@@ -51,6 +51,8 @@ PART = 2_000
 PART_BYTES = 32 << 20
 #: Members held against one hub in a row; a hub of more is sent to several tasks.
 LOT = 100_000
+#: Cells of the bitmap of documents that a join is about; CELLS / 64 rows at most are broadcast, whatever the data.
+CELLS = 1 << 26
 #: Bits of an element's hash that tell it from others.
 ELEMENT = 44
 BIG = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -182,8 +184,17 @@ def name() -> Column:
     return F.concat(F.when(F.col("doc_id").isNull(), "z").otherwise(F.concat(F.when(F.col("doc_id") < 0, "a").otherwise("b"), F.lpad(F.hex(F.col("doc_id")), 16, "0"))), F.hex("tie"))
 
 
+def split_by(rows: DataFrame, doc_id: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows whose doc_id may be one of those in ids (column doc_id), and rows whose isn't: by a bitmap of hashed ids, so the latter need no shuffle."""
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS))
+    bitmap = ids.select(cell("doc_id").alias("cell")).groupBy(F.expr("cell div 64").alias("map_word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell % 64 as int)))").alias("map_bits"))
+    met = rows.withColumn("map_cell", cell(doc_id)).withColumn("map_word", F.expr("map_cell div 64")).join(F.broadcast(bitmap), "map_word", "left")  # at most CELLS / 64 rows
+    there = F.expr("coalesce(shiftrightunsigned(map_bits, cast(map_cell % 64 as int)) & 1L, 0L) = 1L")
+    return met.where(there).select(*rows.columns), met.where(~there).select(*rows.columns)
+
+
 def runs_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """n and runs of the documents that ids (id, n) names: a sorted 32-bit key for each run of words and time it occurs, so sets of keys compare as weighted sets of runs."""
+    """n and runs of the documents that ids (id, doc_id, n) names: a sorted 32-bit key for each run of words and time it occurs, so sets of keys compare as weighted sets of runs."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
@@ -197,8 +208,9 @@ def runs_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("n"), pa.array([key[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["n", "runs"])
 
     text = F.col("text").cast("string")
-    named = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.unhex(F.md5(text)).alias("tie")).where("text is not null").select(name().alias("id"), "text")
-    one = named.join(ids, "id").groupBy("id").agg(F.first("n").alias("n"), F.first("text").alias("text"))
+    some, _ = split_by(docs.select(F.col("doc_id").cast("long"), text.alias("text")).where("text is not null"), "doc_id", ids)
+    named = some.withColumn("tie", F.unhex(F.md5("text"))).select(name().alias("id"), "text")
+    one = named.join(ids.select("id", "n"), "id").groupBy("id").agg(F.first("n").alias("n"), F.first("text").alias("text"))
     return C.mapped(one.select("n", "text"), batches, "n long, runs binary")
 
 
@@ -326,7 +338,7 @@ def grouped(docs: DataFrame, part: int = PART) -> tuple[DataFrame, DataFrame, Da
     ones = C.written(s.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).withColumn("n", F.monotonically_increasing_id()), "ones")
 
     def runs(numbers: DataFrame) -> DataFrame:
-        made.append(C.written(runs_of(docs, ones.select(F.col("first.id").alias("id"), "n").join(numbers, "n", "left_semi")), "runs"))
+        made.append(C.written(runs_of(docs, C.written(ones.select(F.col("first.id").alias("id"), "doc_id", "n").join(numbers, "n", "left_semi"), "met")), "runs"))
         return made[0]
 
     roots = components(near_pairs(ones.select("n", "sig"), runs, part=part))
@@ -351,9 +363,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     names, inner = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*inner)  # no column of docs can clash with those joined to it
     id_, text = (F.col(inner[[x.lower() for x in names].index(c)]) for c in ("doc_id", "text"))
-    keyed = rows.select("*", id_.cast("long").alias("own_doc"), F.upper(F.md5(text.cast("string"))).alias("own_tie"))
+    maybe, clear = split_by(rows.withColumn("own_doc", id_.cast("long")), "own_doc", listed.select(F.col("of_doc").alias("doc_id")))
+    keyed = maybe.withColumn("own_tie", F.upper(F.md5(text.cast("string"))))
     same = F.col("own_doc").eqNullSafe(F.col("of_doc")) & (F.col("own_tie") == F.col("of_tie"))
-    out = keyed.join(listed, same, "left_anti").select(*inner)
+    out = clear.unionByName(keyed.join(listed, same, "left_anti").select(*clear.columns)).select(*inner)
     repeated = listed.where("kept")
     if not repeated.isEmpty():  # equal rows of which one stays
         one = keyed.join(repeated, same).groupBy("own_doc", "own_tie").agg(F.first(F.struct(*inner)).alias("r"))
