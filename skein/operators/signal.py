@@ -48,13 +48,39 @@ def spectra(df: DataFrame, columns: list[str], order_by: list[str], bins: int =
     return found.select(pick(columns).alias("name"), "k", "re", "im", F.coalesce(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2) / F.nullif(pick(size), F.lit(0.0)), F.lit(0.0)).alias("magnitude"))
 
 
-def _numbered(df: DataFrame, order_by: list[str], keep: list[str]) -> DataFrame:
-    """Numbers rows from 0 in order: each range partition counts for itself and adds what the partitions before it hold."""
-    p = df.repartitionByRange(*order_by).withColumn("p", F.spark_partition_id())
-    w = Window.partitionBy("p").orderBy(*order_by)
-    local = p.withColumn("j", F.row_number().over(w) - 1)
+#: Rows of a part that are numbered by one task, and the most parts.
+PART, PARTS = 250_000, 1 << 10
+
+
+def _parts(df: DataFrame, order_by: list[str], rows: int) -> Column:
+    """The number of each row's part, in order: how many bounds are at most its key. Bounds are values, collected once from keys sampled by hash, so two scans put a row into the
+    same part; range partitions don't, as each exchange samples its own bounds."""
+    n = df.count()
+    parts = min(PARTS, n // rows + 1)
+    if parts < 2 or not order_by:
+        return F.lit(0)
+    names = [f"o{i}" for i in range(len(order_by))]
+    keys = df.select(*[F.col(c).alias(o) for c, o in zip(order_by, names, strict=True)])
+    some = keys.where(F.pmod(F.xxhash64(*names), F.lit(max(1, n // (100 * parts)))) == 0).groupBy(*names).agg(F.count("*").alias("c")).orderBy(*names).collect()
+    ends, cuts = np.cumsum([r.c for r in some]), []
+    for i in range(1, parts if some else 0):
+        at = int(np.searchsorted(ends, ends[-1] * i / parts))
+        if not cuts or cuts[-1] < at:
+            cuts.append(at)
+    if not cuts:
+        return F.lit(0)
+    literal = lambda r: F.struct(*[F.lit(r[o]).cast(keys.schema[o].dataType).alias(o) for o in names])
+    bounds, key = F.sort_array(F.array(*[literal(some[at]) for at in cuts])), F.struct(*[F.col(c).alias(o) for c, o in zip(order_by, names, strict=True)])
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(bounds, at + step - 1) <= key, step).otherwise(0))
+
+
+def _numbered(df: DataFrame, order_by: list[str], keep: list[str], rows: int | None = None) -> DataFrame:
+    """Numbers rows from 0 in order: each part of about `rows` rows counts for itself and adds what the parts before it hold."""
+    p = df.withColumn("p", _parts(df, order_by, rows or PART))
+    local = p.withColumn("j", F.row_number().over(Window.partitionBy("p").orderBy(*order_by)) - 1)
     before = p.groupBy("p").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("p").alias("q"), "before")
-    return local.join(F.broadcast(before), F.col("p") == F.col("q")).select(*keep, (F.col("j") + F.col("before")).cast("long").alias("i"))  # a row for each partition
+    return local.join(F.broadcast(before), F.col("p") == F.col("q")).select(*keep, (F.col("j") + F.col("before")).cast("long").alias("i"))  # a row for each part
 
 
 def side_by_side(tables: list[DataFrame], order_by: list[list[str]]) -> DataFrame:
